@@ -34,6 +34,9 @@ PERMUTATIONS = 256
 BATCH = 32
 #: Accepted probability of pruning a pair that is similar enough.
 MISS = 1e-6
+#: Buckets with up to so many members give their open pairs as rows; larger ones go through blocks of about BLOCK a side.
+FEW = 12
+BLOCK = 512
 
 SIGNED = "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"
 
@@ -144,19 +147,24 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float
     return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Of the pairs of nodes, those whose full sets are similar enough (100 * intersection >= 100t * union)."""
-    need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = stash(nodes.join(need, "fp", "left_semi").select(F.col("doc_id").alias("_need")), "to-verify")
+def full_sets(fps: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(fp, s) with the full set of shingles of each of the different fps, computed again from their texts."""
+    need = stash(fps.distinct(), "to-verify")
+    ids = nodes.join(need, "fp", "left_semi").select(F.col("doc_id").alias("_need"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    texts = texts.join(small(ids, ids.count()), F.col("_id").eqNullSafe(F.col("_need")), "left_semi")
+    texts = texts.join(small(ids, need.count()), F.col("_id").eqNullSafe(F.col("_need")), "left_semi")
 
     def sets(batches):
         for pdf in batches:
             out = [(fingerprint(s), s.tobytes()) for s in (shingles(t, words) for t in pdf["_text"])]
             yield pd.DataFrame(out, columns=["fp", "s"]).dropna()
 
-    full = stash(texts.mapInPandas(sets, "fp binary, s binary").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    return stash(texts.mapInPandas(sets, "fp binary, s binary").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Of the pairs of nodes, those whose full sets are similar enough (100 * intersection >= 100t * union)."""
+    full = full_sets(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))), docs, nodes, words)
     percent = round(100 * threshold)
 
     def run(batches):
@@ -172,6 +180,98 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, t
     return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set. Only shingles of both sides count; they become
+    columns of 0/1 matrices, multiplied a slice at a time."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(x, y)
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for values, row in zip((x, y), rows, strict=True):
+        at = np.searchsorted(common, values)
+        own = at < len(common)
+        own[own] = common[at[own]] == values[own]
+        places.append((row[own], at[own]))
+    for k in range(0, len(common), 4096):
+        width = min(4096, len(common) - k)
+        ones = []
+        for (row, at), side in zip(places, (left, right), strict=True):
+            m = np.zeros((len(side), width), np.float32)
+            cut = (at >= k) & (at < k + width)
+            m[row[cut], at[cut] - k] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def block_links(strays: DataFrame, members: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between strays and members of the same band but of different components, both (band, fp, root): a
+    spanning forest for each block. Signatures are compared in batches first; only blocks with survivors go on to the
+    full sets, and only survivors count."""
+    least, percent = least_matches(threshold, MISS), round(100 * threshold)
+    count = lambda df, c: df.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    parts = stash(count(strays, "xs").join(count(members, "ys"), "band"), "bucket-blocks")
+    sides = strays.withColumn("x", F.lit(True)).unionByName(members.withColumn("x", F.lit(False))).join(parts, "band")
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("x"), F.col("xs")).otherwise(F.col("ys"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("x"), F.col("ys")).otherwise(F.col("xs")) - 1))
+    sides = sides.select("band", "fp", "root", "x", own.alias("own"), other.alias("other"))
+    sides = sides.withColumn("i", F.when(F.col("x"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("x"), F.col("other")).otherwise(F.col("own")))
+    loaded = sides.join(nodes.select("fp", "sig"), "fp").join(sets, "fp").select("band", "i", "j", "x", "fp", "root", "sig", "s")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["x"]], pdf[~pdf["x"]]
+        none = pd.DataFrame({"a": [], "b": []}, dtype=object)
+        if not len(x) or not len(y):
+            return none
+        left, right = (np.frombuffer(b"".join(d["sig"]), np.uint16).reshape(len(d), -1) for d in (x, y))
+        number = {r: k for k, r in enumerate({*pdf["root"]})}
+        rx, ry = (np.array([number[r] for r in d["root"]]) for d in (x, y))
+        alive = rx[:, None] != ry[None]
+        matches = np.zeros(alive.shape, np.int16)
+        for k, m in enumerate(least):
+            if not alive.any():
+                return none
+            for c in range(k * BATCH, (k + 1) * BATCH):
+                matches += left[:, c, None] == right[None, :, c]
+            alive &= matches >= m
+        if not alive.any():
+            return none
+        rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        sx, sy = ([np.frombuffer(d["s"].iloc[k], np.uint64) for k in at] for d, at in ((x, rows), (y, cols)))
+        both = intersections(sx, sy)
+        nx, ny = np.array([len(s) for s in sx]), np.array([len(s) for s in sy])
+        hit = alive[np.ix_(rows, cols)] & (100 * both >= percent * (nx[:, None] + ny[None] - both))
+        fx, fy = x["fp"].to_numpy()[rows], y["fp"].to_numpy()[cols]
+        return pd.DataFrame(forest(hit, fx, fy), columns=["a", "b"], dtype=object)
+
+    return loaded.groupBy("band", "i", "j").applyInPandas(verify, "a binary, b binary")
+
+
+def forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """A spanning forest of the links hit between the names left and right, which may share names."""
+    rows = {left[k]: k for k in np.flatnonzero(hit.any(axis=1))}
+    cols = {right[k]: k for k in np.flatnonzero(hit.any(axis=0))}
+    new_left, new_right, edges, done = np.ones(len(left), bool), np.ones(len(right), bool), [], set()
+    for root in [*rows, *cols]:
+        queue = [] if root in done else [root]
+        done.add(root)
+        while queue:
+            name, found = queue.pop(), []
+            if name in rows:
+                new_left[rows[name]] = False
+                found += right[hit[rows[name]] & new_right].tolist()
+            if name in cols:
+                new_right[cols[name]] = False
+                found += left[hit[:, cols[name]] & new_left].tolist()
+            for other in found:
+                if other not in done:
+                    done.add(other)
+                    edges.append((name, other))
+                    queue.append(other)
+    return edges
+
+
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its group, its own if alone),
     kept (doc_id = component_id)."""
@@ -193,17 +293,24 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     mixed_up = lone.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
     open_rows = stash(lone.join(mixed_up, "band"), "open")
     sizes = open_rows.groupBy("band", "root").count()
-    most = sizes.groupBy("band").agg(F.max(F.struct("count", "root")).alias("most")).select("band", F.col("most.root").alias("most"))
+    most = sizes.groupBy("band").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("m")).select("band", F.col("most.root").alias("most"), "m")
     open_rows = stash(open_rows.join(most, "band"), "open-most")
-    strays = open_rows.where("root != most and fp != head").select("band", F.col("fp").alias("x"), F.col("root").alias("rx"))
-    others = open_rows.where("fp != head").select("band", F.col("fp").alias("y"), F.col("root").alias("ry"))
+    few, many = open_rows.where(F.col("m") <= FEW), open_rows.where(F.col("m") > FEW)
+    strays = few.where("root != most and fp != head").select("band", F.col("fp").alias("x"), F.col("root").alias("rx"))
+    others = few.where("fp != head").select("band", F.col("fp").alias("y"), F.col("root").alias("ry"))
     again = strays.join(others, "band").where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     again = stash(again.join(tested, ["a", "b"], "left_anti"), "second-pairs")
+    more = []
     if not again.isEmpty():
-        more = confirmed(stash(plausible(again, nodes, threshold), "second-survivors"), docs, nodes, words, threshold)
-        more = stash(more, "second-links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        more.append(stash(confirmed(stash(plausible(again, nodes, threshold), "second-survivors"), docs, nodes, words, threshold), "second-links"))
+    if not many.isEmpty():
+        sets = full_sets(many.select("fp"), docs, nodes, words)
+        cols = ["band", "fp", "root"]
+        more.append(stash(block_links(many.where("root != most").select(*cols), many.select(*cols), sets, nodes, threshold), "block-links"))
+    for found in more:
+        links = links.unionByName(found)
+    if more:
+        labels = components(links)
 
     # The smallest doc_id of each component, then one thin row per document.
     rooted = nodes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stash
+from .near_dedup import forest
 
 #: Bounds of the sample that fits and calibrates the index.
 SAMPLE = 20_000
@@ -169,34 +170,6 @@ def links(classes: DataFrame, grid: Grid, threshold: float, block: int = BLOCK)
     return spread.select("id", "label", "cell", m, q, "size", "v", "query").groupBy("label", "cell", "m", "q").applyInPandas(verify, "a long, b long, n long")
 
 
-def forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a block, breadth first."""
-    rows = {int(left[k]): k for k in np.flatnonzero(hit.any(axis=1))}
-    cols = {int(right[k]): k for k in np.flatnonzero(hit.any(axis=0))}
-    fresh_left, fresh_right, edges = np.ones(len(left), bool), np.ones(len(right), bool), []
-    done: set[int] = set()
-    for root in [*rows, *cols]:
-        if root in done:
-            continue
-        done.add(root)
-        queue = [root]
-        while queue:
-            i = queue.pop()
-            found = []
-            if i in rows:
-                fresh_left[rows[i]] = False
-                found += right[hit[rows[i]] & fresh_right].tolist()
-            if i in cols:
-                fresh_right[cols[i]] = False
-                found += left[hit[:, cols[i]] & fresh_left].tolist()
-            for j in found:
-                if j not in done:
-                    done.add(j)
-                    edges.append((i, j))
-                    queue.append(j)
-    return edges
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept (vec_id = component_id)."""
     every = typed(vectors)
