@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import alerts, features, forest, metrics, ranking, sequence
 from ..sources.access_log import TEST_LOG_SQL, log_of_events, split_ground_truth, validate_events
+from ..sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +54,7 @@ def queue(log: DataFrame, n: int = 150) -> DataFrame:
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label-free risk of every event: features, forest, scores."""
-    f = features.build_features(log_of_events(spark, sf_dir))
+    f = written(features.build_features(log_of_events(spark, sf_dir)), "features")
     scored, _ = forest.risk_score(f, forest.fit_forest(f, n_trees=100))
     return scored.select("event_id", "entity_id", "label", F.round("risk_score", 4).alias("risk_score"))
 
@@ -62,7 +63,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A classifier trained on three quarters of each label and applied to the rest."""
     from ..operators import classifier
 
-    f = features.build_features(log_of_events(spark, sf_dir)).persist()
+    f = written(features.build_features(log_of_events(spark, sf_dir)), "features")
     train, test = classifier.stratified_split(f)
     model = classifier.fit_classifier(train, n_trees=20, depth=8)
     return classifier.predict_category(test, model).select("event_id", "label", "predicted_category")
@@ -120,7 +121,7 @@ def queries() -> dict[str, Query]:
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features.build_features(log_of_events(spark, sf_dir))
+    f = written(features.build_features(log_of_events(spark, sf_dir)), "features")
     return forest.scale(f, forest.fit_scaler(f)).select("event_id", "hour_zscore", "n_commands", "rolling_fail_5", "session_duration_min")
 
 
