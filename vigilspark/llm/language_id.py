@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import in_small_batches, stash
 from .near_dedup import mixed
 
 ORDERS = (2, 3, 4)
@@ -103,7 +103,7 @@ BITS = [np.flatnonzero(np.arange(256) >> k & 1) for k in range(8)]
 
 def train(docs: DataFrame, sample: int = SAMPLE, rate: float = RATE, contrast: float = CONTRAST) -> Filter:
     """Learn from text and lang of the rows that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & remainder().isin(0, 1, 3))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: Filter, *keep: Column) -> DataFrame:
         m = shared.value
         return pd.DataFrame([m.decide(t) for t in text], columns=["lang_pred", "score"])
 
-    out = docs.select(*keep, judge(F.col("text")).alias("_judged"))
+    out = in_small_batches(docs).select(*keep, judge(F.col("text")).alias("_judged"))
     return out.select(*[c for c in out.columns if c != "_judged"], "_judged.lang_pred", "_judged.score")
 
 

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
 from .tokens import byte_bpe
 
 CAPACITY = 2048
@@ -105,7 +106,7 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
         if held:
             yield packed()
 
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, MATRICES)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, MATRICES)
 
 
 def write_matrices(docs: DataFrame, path: str, out: str, **options) -> None:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, stash
+from .common import components, in_small_batches, small, stash
 
 PERMUTATIONS = 256
 #: Signature values compared between two looks at the posterior.
@@ -107,7 +107,7 @@ def signed(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 out.append((key, len(s), fingerprint(s), sig.astype(np.uint16).tobytes(), band.view(np.int64).tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "fp", "sig", "bands"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInPandas(run, SIGNED)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInPandas(run, SIGNED)
 
 
 @lru_cache(maxsize=8)

@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 MARK = "▁"
 #: A space after another character starts a part.
 CUT = re.compile(r"(?<=[^ ])(?= )")
@@ -180,7 +182,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, schema)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, schema)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -190,4 +192,4 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def ids(texts: pd.Series) -> pd.Series:
         return pd.Series([pieces_model(path).encode(t or "")[1] for t in texts], dtype=object)
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return in_small_batches(docs).select("doc_id", ids("text").alias("ids"))

@@ -28,7 +28,7 @@ def byte_of_char() -> dict[str, int]:
 class ByteBpe:
     """Encodes texts chunk by chunk; chunks met before come from a dictionary of a bounded number of entries."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, entries: int = 400_000):
         spec = json.load(open(path, encoding="utf-8"))
         chars, vocab = byte_of_char(), spec["model"]["vocab"]
         special = {t["content"] for t in spec.get("added_tokens", [])}
