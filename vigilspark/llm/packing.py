@@ -27,6 +27,8 @@ from .tokens import byte_bpe
 CAPACITY = 2048
 #: Documents of a packing group, on average.
 GROUP = 8192
+#: Groups that a task packs, on average, at most.
+GROUPS_A_TASK = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -157,5 +159,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
         out["offset"] = ends - out["length"]
         return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
-    dealt = thin.withColumn("_group", F.pmod(F.xxhash64("salt"), F.lit(groups)))
+    # A named number of partitions: packing is slow for its bytes, so small partitions must not be joined into one task.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_A_TASK))
+    dealt = thin.withColumn("_group", F.pmod(F.xxhash64("salt"), F.lit(groups))).repartition(tasks, "_group")
     return dealt.groupBy("_group").applyInPandas(place, PACKED)
