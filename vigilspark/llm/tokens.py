@@ -31,13 +31,15 @@ class ByteBpe:
     def __init__(self, path: str, entries: int = 400_000):
         spec = json.load(open(path, encoding="utf-8"))
         chars, vocab = byte_of_char(), spec["model"]["vocab"]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(chars[c] for c in w): i for w, i in vocab.items() if w not in special}
         order = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         if order != sorted(order):
             raise ValueError("the merges of this vocabulary do not follow its ids")
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.newline = ranks[b"\n"]
+        self.special = {w: np.array([i], "<u4").tobytes() for w, i in special.items()}
+        self.mark = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.entries, self.known = entries, {}
 
     def ids(self, text: str) -> bytes:
@@ -59,8 +61,13 @@ class ByteBpe:
         head, *rest = CUT.split(text)
         return self.ids(head) + b"".join([self.ids(" " + c) for c in rest])
 
+    def apart(self, text: str) -> bytes:
+        """A text with strings of special tokens: each is that token's id, and what lies between is encoded alone."""
+        return b"".join([self.special[x] if x in self.special else self.careful(x) for x in self.mark.split(text)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every whole text as little-endian uint32 bytes; strings of special tokens are ordinary text."""
+        """Ids of every whole text as little-endian uint32 bytes, as the tokenizers library gives them by default: a string
+        of a special token is that token."""
         out: list[bytes] = []
         for k in range(0, len(texts), 500):
             cut = [t.split(" ") for t in texts[k : k + 500]]
@@ -71,6 +78,9 @@ class ByteBpe:
             self.learn(new.difference(self.known))
             find = self.known.__getitem__
             for text, head, rest in zip(texts[k : k + 500], heads, cut, strict=True):
+                if any(w in text for w in self.special):
+                    out.append(self.apart(text))
+                    continue
                 parts = [*map(find, rest)]
                 odd = None in parts or rest and (not head or head[-1].isspace())
                 out.append(self.careful(text) if odd else self.ids(head) + b"".join(parts))
