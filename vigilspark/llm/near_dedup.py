@@ -88,8 +88,9 @@ def fingerprint(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def signed(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig, bands) of every row; sets without shingles have null fp, sig and bands."""
+def signed(docs: DataFrame, words: int, threshold: float, named: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, fp, sig, bands) of every row, and sha of its text if named; sets without shingles have null
+    fp, sig and bands."""
     bands, rows = layout(threshold)
 
     def run(batches):
@@ -105,9 +106,12 @@ def signed(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 for k in range(rows):
                     band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + sig[k : rows * bands : rows])
                 out.append((key, len(s), fingerprint(s), sig.astype(np.uint16).tobytes(), band.view(np.int64).tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "fp", "sig", "bands"]).astype({"doc_id": "Int64"})
+            done = pd.DataFrame(out, columns=["doc_id", "n_shingles", "fp", "sig", "bands"]).astype({"doc_id": "Int64"})
+            yield done.assign(sha=pdf["_sha"].to_numpy()) if named else done
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInPandas(run, SIGNED)
+    own = [F.sha2("text", 256).alias("_sha")] if named else []
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *own)
+    return texts.mapInPandas(run, SIGNED + ", sha string" * named)
 
 
 @lru_cache(maxsize=8)
@@ -272,10 +276,11 @@ def forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple]:
     return edges
 
 
-def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, named: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its group, its own if alone),
-    kept (doc_id = component_id)."""
-    rows = stash(signed(docs, words, threshold), "signed")
+    kept (doc_id = component_id). If named also sha (of its text) and root, which names the group whatever its ids are
+    (null without shingles)."""
+    rows = stash(signed(docs, words, threshold, named), "signed")
     sets = rows.where("fp is not null")
     nodes = stash(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("fp", F.explode("bands").alias("band"))
@@ -316,7 +321,8 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Data
     rooted = nodes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     rooted = stash(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = stash(rooted.join(stash(smallest, "smallest"), "root").select("fp", "component_id"), "of-node")
-    out = rows.select("doc_id", "n_shingles", "fp").join(of_node, "fp", "left")
+    sha, root = (["sha"], ["root"]) if named else ([], [])
+    of_node = stash(rooted.join(stash(smallest, "smallest"), "root").select("fp", "component_id", *root), "of-node")
+    out = rows.select("doc_id", "n_shingles", "fp", *sha).join(of_node, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *sha, *root)
