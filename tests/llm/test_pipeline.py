@@ -61,3 +61,15 @@ def test_run_keeps_what_the_stages_keep(spark, docs_of, tmp_path):
     want = packing.pack(docs_of(left), tokenizer("byte_bpe_50k.json"))
     packed = lambda df: ordered((r.doc_id, r.length, r.ids_crc32) for r in df.collect())
     assert packed(corpus_pipeline.run(spark, str(tmp_path))) == packed(want)
+
+
+def test_language_rejects_texts_in_no_learned_language(spark, docs_of):
+    rng = random.Random(8)
+    words = {"en": "the and of that with have this from they would there their what about which".split(), "de": "der die und nicht mit sich auch nach einem über wird werden durch noch können".split()}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    clean = rows + [(500, "The they there", None), (None, "werden und nicht", None)]
+    odd = [(600, "Быстрая лиса прыгает", None), (601, "qzx vjk wqp xxz kqj zzq", None), (602, "12 + 7", "en"), (603, None, "de"), (None, "ждёт", None)]
+    assert pairs(corpus_pipeline.language(spark, docs_of(clean + odd), "")) == ordered((i, t) for i, t, _ in clean)
+    for lang in ([(i, t, None) for i, t, _ in clean + odd], [(1, "a b", None), (2, None, "en"), (3, "7", "en")]):  # nothing to learn
+        want = ordered((i, t) for i, t, _ in lang if any(x.isalpha() for x in t or ""))
+        assert pairs(corpus_pipeline.language(spark, docs_of(lang), "")) == want

@@ -75,10 +75,11 @@ class Filter:
         for k in range(FUNCTIONS):
             yield ((h >> np.uint64(20 * k)) & np.uint64(SLOTS - 1)).astype(np.int32)
 
-    def decide(self, text: str | None) -> tuple[str, float]:
+    def shares(self, text: str | None) -> np.ndarray | None:
+        """The corrected share of the text's n-grams that each language has; None without a letter or a language."""
         found = grams(text) if text and self.langs else ()
         if not found:
-            return "und", 0.0
+            return None
         h = np.concatenate(found)
         hits = np.zeros(len(self.langs))
         for w, row in enumerate(self.words):
@@ -92,11 +93,24 @@ class Filter:
             else:
                 for k in range(w * 64, min(len(hits), w * 64 + 64)):
                     hits[k] = ((mask >> np.uint64(k % 64)) & np.uint64(1)).sum()
-        true = np.maximum(hits / len(h) - self.false, 0) / np.maximum(1 - self.false, 1e-9)
+        return np.maximum(hits / len(h) - self.false, 0) / np.maximum(1 - self.false, 1e-9)
+
+    def decide(self, text: str | None) -> tuple[str, float]:
+        true = self.shares(text)
+        if true is None:
+            return "und", 0.0
         if not true.any():
             return self.fallback, 0.0
         return self.langs[int(true.argmax())], float(true.max() / true.sum())
 
+    def known(self, text: str | None) -> float | None:
+        """The share of the language that has most of the text's n-grams; None for a text without a letter, and 1 where
+        no n-gram of any language was learned."""
+        if not self.words.any():
+            return 1.0 if text and grams(text) else None
+        true = self.shares(text)
+        return None if true is None else float(true.max())
+
 
 BITS = [np.flatnonzero(np.arange(256) >> k & 1) for k in range(8)]
 
@@ -145,3 +159,29 @@ def identify(docs: DataFrame, model: Filter, *keep: Column) -> DataFrame:
 def predictions(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
     return identify(docs, train(docs), F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 2).alias("held_out"))
+
+
+def with_known(docs: DataFrame, model: Filter, *keep: Column) -> DataFrame:
+    """The columns `keep` of docs, and _known: the share of each text's n-grams that its best language has (Filter.known)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def known(text: pd.Series) -> pd.Series:
+        m = shared.value
+        return pd.Series([m.known(t) for t in text], dtype="float64")
+
+    return in_small_batches(docs).select(*keep, known(F.col("text")).alias("_known"))
+
+
+def least_known(docs: DataFrame, model: Filter, sample: int = SAMPLE) -> float:
+    """The share of known n-grams below which a text is in no learned language: half of the median of labelled rows that
+    were not learned from, but no more than what 99 of 100 of them reach (so of a few rows, the least). At most about
+    `sample` rows count, chosen by a hash of the id; where no row was held out, the learned ones do."""
+    rows = docs.where(F.col("lang").cast("string").isin(model.langs) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    for part in (rows.where(remainder() == 2), rows):
+        n = part.count()
+        chosen = part.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1 << 20)) < min(1.0, sample / max(n, 1)) * (1 << 20))
+        middle, low = with_known(chosen, model).where("_known > 0").agg(F.percentile_approx("_known", 0.5, 100000), F.percentile_approx("_known", 0.01, 100000)).first()
+        if middle is not None:
+            return min(middle / 2, low)
+    return 0.0
