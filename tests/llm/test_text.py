@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -130,3 +131,38 @@ def test_vectors(spark):
     by_id = {r.vec_id: r for r in got}
     assert all(by_id[k].n_links == 0 and by_id[k].kept for k in (1001, 1002, 1003, 1004, 1005, 1007, 1008)) and by_id[1000].component_id == by_id[0].component_id
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_lm_scores_equal_brute_force_over_exact_ngrams(spark, docs_of):
+    rng = random.Random(12)
+    wide = "".join(map(chr, range(0x20000, 0x20000 + 70_000)))  # more characters than fit 16 bits
+    rows = [(k, "".join(rng.choice("abcdé \x02🙂") for _ in range(rng.randrange(1, 60)))) for k in range(40)] + [(40, wide), (41, "a" * 700), (None, "abc"), (3, "again"), (60, ""), (61, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    count = [Counter(), Counter()]
+    pad = lambda t: [None] * 3 + [*t]
+    for i, t in rows:
+        c = pad(t or "")
+        for m in (0, 1)[i is None or i >= 40 or i % 2 == 0 :]:
+            for at in range(3, len(c)):
+                for n in range(5):
+                    count[m][(*c[at + 1 - n : at + 1],)] += n > 0 or 1
+                for n in range(1, 4):
+                    count[m]["before", *c[at - n : at]] += 1
+    mass = count[0][()]
+    for k in count[1]:
+        count[1][k] *= mass / sum(len(t or "") for _, t in rows)
+
+    def ce(t, m):
+        c, out = pad(t), 0.0
+        for at in range(3, len(c)):
+            p = (count[m][(c[at],)] + 0.1) / (mass + 409.6)
+            for n in (1, 2, 3):
+                p = (count[m][(*c[at - n : at + 1],)] + 4 * p) / (count[m]["before", *c[at - n : at]] + 4)
+            out -= np.log(p)
+        return out / len(t)
+
+    want = sorted((i if i is not None else -1, len(t or ""), round(ce(t, 0), 6) if t else -1, round(ce(t, 1), 6) if t else -1) for i, t in rows)
+    none = lambda x: -1 if x is None else x
+    got = sorted((none(r.doc_id), r.n_tokens, round(none(r.ce_target), 6), round(none(r.ce_background), 6)) for r in lm_score.scores(docs_of(rows).repartition(3), labels).collect())
+    assert np.allclose(np.array(got), np.array(want), atol=2e-6)
+    assert lm_score.scores(docs_of(rows).limit(0), labels).count() == 0
