@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -71,10 +72,61 @@ def test_packing(spark, docs_of):
     assert len(bins) <= 1.03 * total / 64 + 4
 
 
-def test_local_search_empties_a_bin():
-    bins, lengths = [[0, 1], [2, 3], [4]], [5, 3, 6, 2, 2]  # 8 + 8 + 2 in bins of 9
-    assert len(packing.local_search(bins, lengths, 9)) == 2 or sum(lengths) > 18
-    assert len(packing.local_search([[0, 1], [2], [3]], [6, 3, 5, 4], 9)) == 2
+def step_of(bins, lengths, capacity, d):
+    pool = packing.Underfull([[*b] for b in bins], lengths, capacity)
+    for b in range(len(bins)):
+        if b != d:
+            pool.add(b)
+    found = pool.step(d)
+    return found and (found[0], [lengths[i] for i in found[1]], [lengths[i] for i in found[2]])
+
+
+def test_steps_of_each_kind():
+    assert step_of([[0, 1], [2]], [6, 3, 1], 10, 1) == (0, [1], [])  # a move
+    assert step_of([[0, 1], [2]], [6, 3, 4], 10, 1) == (0, [4], [3])  # one for one
+    assert step_of([[0, 1], [2, 3]], [6, 3, 2, 2], 10, 1) == (0, [2, 2], [3])  # two for one
+    assert step_of([[0, 1, 2], [3, 4]], [2, 3, 4, 3, 3], 10, 1) in [(0, [3, 3], [5]), (0, [3], [2]), (0, [3, 3], [2, 3])]
+    assert step_of([[0, 1], [2]], [6, 3, 3], 10, 1) is None  # equal sizes gain nothing
+    assert step_of([[0], [1, 2]], [2, 6, 3], 10, 1) is None  # takers are at least as full
+
+
+def test_squared_fill_rises_and_bins_empty(monkeypatch):
+    rng, seen = random.Random(11), []
+
+    class Watched(packing.Underfull):
+        def step(self, d):
+            assert sum(self.fill) == self.__dict__.setdefault("total", sum(self.fill))
+            seen.append(sum(f * f for f in self.fill))
+            return super().step(d)
+
+    monkeypatch.setattr(packing, "Underfull", Watched)
+    lengths = []
+    for _ in range(60):  # triples that fill 100 exactly
+        x = rng.randrange(25, 45)
+        y = rng.randrange(25, 76 - x + 1) if x < 51 else 25
+        lengths += [x, y, 100 - x - y]
+    first = packing.best_fit(lengths, 100)
+    bins = packing.local_search(first, lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(180)) and max(sum(lengths[i] for i in b) for b in bins) <= 100
+    assert len(bins) < len(first) and len(bins) <= 63
+    assert all(a <= b for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0]
+
+
+def test_local_search_ends_soon_on_documents_of_middle_length():
+    rng = random.Random(12)
+    lengths = [rng.randrange(600, 1001) for _ in range(2000)]
+    began = time.time()
+    first = packing.best_fit(lengths, 2048)
+    assert len(packing.local_search(first, lengths, 2048)) < len(first) and time.time() - began < 30
+    small = [rng.randrange(1, 9) for _ in range(3000)]  # hundreds of documents a bin
+    assert len(packing.local_search(packing.best_fit(small, 2048), small, 2048)) == -(-sum(small) // 2048)
+
+
+def test_very_long_text(spark, docs_of):
+    got = packing.pack(docs_of([(1, "ab, " * 50_000), (2, "x")]), BPE).collect()
+    n = len(byte_bpe(BPE).encode(["ab, " * 50_000])[0]) // 4 + 1
+    own = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 1)
+    assert sum(x for _, _, x in own) == n and [x for _, _, x in own[1:]] == [2048] * (len(own) - 1)
 
 
 def test_best_fit_bins_hold_everything():

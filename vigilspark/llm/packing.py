@@ -5,15 +5,19 @@ those rows once, deal them evenly into groups of a few thousand by a salt that d
 group on its own. A group loses at most a fraction of one sequence against the volume bound, so thousands of groups
 cost little and no group grows with the data.
 
-Defined cases: null or empty text is a document of the end id alone; repeated rows are packed once each; documents
-longer than a sequence are cut into full sequences, the first piece taking what is left over; an empty table gives no
-rows; other columns are ignored.
+The search has no limit on steps or on documents of a bin; its work is bounded by its neighbourhood. Exchanges are found
+by size, not by bin: a bin offers each different sum of one or two documents once, bins of equal room are one row of a
+table, and a pass visits every underfull bin once.
+
+Defined cases: null or empty text is a document of the end id alone; repeated rows and null or repeated ids are packed
+once per row; documents longer than a sequence, whatever their length, are cut into full sequences, the first piece
+taking what is left over; of exchanges that leave a taker equally full the one of smallest size given, then of the
+smallest room is made; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -77,63 +81,110 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 4000) -> list[list[int]]:
-    """Swap-based local search on the bins with room: move a document, exchange one for one or two for one, whenever
-    the fuller bin becomes fuller (so the sum of squared fills grows), until bins empty or nothing improves.
-
-    The emptiest bin is the donor. Every accepted step moves tokens from it to a fuller bin, hence it ends.
+class Underfull:
+    """Bins with room, and for each room and each size the smallest size from there on that some bin of that room can
+    give back for a document or two: one of its documents, two of them, or nothing (a move)."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.sums: list[dict[int, list[int]]] = [{} for _ in bins]
+        self.by_room: dict[int, dict[int, None]] = {}
+        self.next = np.zeros((capacity, capacity + 2), np.int32)
+        self.old = np.ones(capacity, bool)  # rooms whose row of next is out of date
+
+    def options(self, b: int) -> dict[int, list[int]]:
+        """The sums of one or two of a bin's documents; equal sums count once, so there are at most capacity."""
+        one = {self.lengths[i]: i for i in self.bins[b]}
+        twice = {n: i for i in self.bins[b] if i != one[n := self.lengths[i]]}
+        sums = {n: [i] for n, i in one.items()}
+        sizes = [*one]
+        for k, m in enumerate(sizes):
+            if m in twice:
+                sums.setdefault(2 * m, [one[m], twice[m]])
+            for n in sizes[k + 1 :]:
+                sums.setdefault(m + n, [one[m], one[n]])
+        return sums
+
+    def add(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if 0 < room < self.capacity:
+            self.sums[b] = self.options(b)
+            self.by_room.setdefault(room, {})[b] = None
+            self.old[room] = True
+
+    def remove(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if b in self.by_room.get(room, ()):
+            del self.by_room[room][b]
+            if not self.by_room[room]:
+                del self.by_room[room]
+            self.old[room] = True
+
+    def row(self, room: int) -> None:
+        sizes = np.unique([0, *(n for b in self.by_room[room] for n in self.sums[b])])
+        at = np.searchsorted(sizes, np.arange(self.capacity + 2))
+        self.next[room] = np.append(sizes, 2 * self.capacity)[at]
+        self.old[room] = False
+
+    def step(self, d: int) -> tuple[int, list[int], list[int]] | None:
+        """The exchange from bin d, which is not among the others now, that leaves its taker fullest:
+        (taker, given, taken back), or None. Takers are at least as full as d."""
+        rooms = np.array([r for r in self.by_room if r <= self.capacity - self.fill[d]], np.int64)
+        if not len(rooms):
+            return None
+        for r in rooms[self.old[rooms]]:
+            self.row(int(r))
+        give = self.options(d)
+        sizes = np.fromiter(give, np.int64, len(give))
+        best = (self.capacity + 1, 0, 0, 0)
+        for part in np.array_split(sizes, max(1, len(sizes) * len(rooms) // 1_000_000)):
+            back = self.next[rooms[None], np.maximum(part[:, None] - rooms[None], 0)]
+            left = np.where(back < part[:, None], rooms[None] - part[:, None] + back, self.capacity + 1)
+            k, r = np.unravel_index(left.argmin(), left.shape)
+            best = min(best, (int(left[k, r]), int(part[k]), int(rooms[r]), int(back[k, r])))
+        left, size, room, back = best
+        if left > self.capacity:
+            return None
+        taker = next(b for b in self.by_room[room] if not back or back in self.sums[b])
+        return taker, give[size], self.sums[taker][back] if back else []
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Swap-based local search on the bins with room: moves of one or two documents and exchanges of one or two for one
+    or two, each of which makes a bin fuller at the cost of an emptier one, so that the sum of squared fills grows.
+
+    A pass drains the bins from the emptiest on, each until it is empty or can give nothing; passes go on while the last
+    one emptied a bin and more bins than the volume needs are left. There is no other limit: a drain ends as it takes
+    tokens from its bin at every step, and a pass looks at each bin once.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = sum(1 for f in fill if f)
-    loose = {b for b in range(len(bins)) if 0 < fill[b] < capacity}
-    stuck: set[int] = set()
-    while live > least and steps > 0:
-        donors = [b for b in loose if b not in stuck]
-        if len(loose) < 2 or not donors:
-            break
-        d = min(donors, key=lambda b: (fill[b], b))
-        takers = sorted((b for b in loose if b != d and fill[b] >= fill[d]), key=lambda b: (-fill[b], b))
-        if not (found := exchange(bins[d], takers, bins, fill, lengths, capacity)):
-            stuck.add(d)
-            continue
-        steps -= 1
-        t, give, take = found
-        bins[d] = [i for i in bins[d] if i not in give] + take
-        bins[t] = [i for i in bins[t] if i not in take] + give
-        gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-        fill[d], fill[t] = fill[d] - gain, fill[t] + gain
-        live -= not fill[d]
-        loose.discard(t if fill[t] == capacity else -1)
-        loose.discard(d if not fill[d] else -1)
-        stuck.clear()
+    bins = [[*b] for b in bins]
+    pool = Underfull(bins, lengths, capacity)
+    least = -(-sum(pool.fill) // capacity)
+    live = sum(1 for f in pool.fill if f)
+    for b in range(len(bins)):
+        pool.add(b)
+    emptied = True
+    while emptied and live > least:
+        emptied = False
+        for d in sorted((b for r in pool.by_room.values() for b in r), key=lambda b: (pool.fill[b], b)):
+            pool.remove(d)
+            while pool.fill[d] and live > least and (found := pool.step(d)):
+                taker, give, back = found
+                pool.remove(taker)
+                bins[d] = [i for i in bins[d] if i not in give] + back
+                bins[taker] = [i for i in bins[taker] if i not in back] + give
+                gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in back)
+                pool.fill[d], pool.fill[taker] = pool.fill[d] - gain, pool.fill[taker] + gain
+                pool.add(taker)
+                if not pool.fill[d]:
+                    live, emptied = live - 1, True
+            pool.add(d)
+            if live <= least:
+                break
     return [b for b in bins if b]
 
 
-def exchange(donor: list[int], takers: list[int], bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int):
-    """The step from donor to one of takers that leaves the taker fullest: (taker, given, taken back), or None."""
-    singles = sorted((lengths[i], i) for i in donor)
-    pairs = sorted((lengths[i] + lengths[j], i, j) for k, i in enumerate(donor) for j in donor[k + 1 :]) if len(donor) <= 24 else []
-    best, found = 0, None
-    for t in takers:
-        room = capacity - fill[t]
-        if room <= best:
-            continue
-        mine = bins[t]
-        options = [(0, [])] + [(lengths[x], [x]) for x in mine]
-        if len(mine) <= 24:
-            options += [(lengths[x] + lengths[y], [x, y]) for k, x in enumerate(mine) for y in mine[k + 1 :]]
-        for back, taken in options:
-            at = bisect_left(singles, (back + room + 1,)) - 1
-            if at >= 0 and singles[at][0] - back > best:
-                best, found = singles[at][0] - back, (t, [singles[at][1]], taken)
-            if len(taken) < 2 and (at := bisect_left(pairs, (back + room + 1,)) - 1) >= 0 and pairs[at][0] - back > best:
-                best, found = pairs[at][0] - back, (t, [*pairs[at][1:]], taken)
-        if best and best == room:
-            break
-    return found
-
-
 def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of positions: full items alone, the others by best fit, then local search among the underfull bins."""
     full = [[i] for i, n in enumerate(lengths) if n == capacity]
