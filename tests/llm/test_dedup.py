@@ -5,8 +5,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from vigilspark.llm import exact_dedup, near_dedup
+from vigilspark.llm import common, exact_dedup, near_dedup
 
 EDGE = [(None, "null id"), (1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "ONE"), (None, None), (6, "É"), (7, "é")]
 
@@ -86,6 +87,39 @@ def test_near_groups(spark, docs_of, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_groups_in_small_blocks(spark, docs_of, monkeypatch):
+    """Many open members of one bucket, blocks cut by number and by bytes, one text much longer than the others."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(100)]
+    rows = [(1, " ".join(base * 40))]
+    for k in range(70):
+        w = list(base)
+        for at in rng.sample(range(100), rng.choice([2, 4, 5, 6])):
+            w[at] = word()
+        rows.append((10 + k, " ".join(w)))
+    for name, value in (("FEW", 2), ("BLOCK", 8), ("BLOCK_BYTES", 6000)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = near_dedup.near_groups(docs_of(rows), 3, 0.85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
+
+
+def test_hot_join(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id", "if(id < 3000, 7, id) AS k")
+    table = rows.groupBy("k").agg({"*": "count"}).toDF("k", "n").selectExpr("k", "n", "k * 2 AS v")
+    got = common.hot_join(rows, table, ["k"], "n")
+    assert got.count() == 5000 and got.where("v != 2 * k").count() == 0 and got.columns == ["id", "k", "v"]
+
+
+def test_scratch_deletes_all_but_what_is_kept(spark):
+    with common.scratch(spark):
+        gone, held = common.stash(spark.range(3), "gone"), common.stash(spark.range(4), "held", keep=True)
+        assert gone.count() == 3
+    assert held.count() == 4
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        gone.count()
+
+
 def test_near_empty(spark, docs_of):
     assert near_dedup.near_groups(docs_of([(1, "x")]).limit(0)).count() == 0
 

@@ -24,11 +24,11 @@ def labelled(n=400):
 
 
 def test_language_held_out(spark, docs_of):
-    rows = labelled() + [(9001, None, "aa"), (9002, "123 !!", None), (None, "the whing", "aa"), (9003, "z", None)]
+    rows = labelled() + [(9001, None, "aa"), (9002, "123 !!", None), (9004, "½ ² ①", "aa"), (9005, "the whing " * 40_000, None), (None, "the whing", "aa"), (9003, "z", None)]
     got = {r.doc_id: r for r in language_id.predictions(docs_of(rows)).collect()}
     held = [(got[k].lang_pred, lang) for k, _, lang in rows[:400] if got[k].held_out]
     assert len(held) > 60 and np.mean([a == b for a, b in held]) > 0.98
-    assert got[9001].lang_pred == got[9002].lang_pred == "und" and got[9003].lang_pred in SYLLABLES
+    assert got[9001].lang_pred == got[9002].lang_pred == got[9004].lang_pred == "und" and got[9005].lang_pred == "aa" and got[9003].lang_pred in SYLLABLES
     assert all(0 <= r.score <= 1 for r in got.values()) and not got[None].held_out
 
 

@@ -138,9 +138,12 @@ def test_best_fit_bins_hold_everything():
     assert len(packing.best_fit(lengths, 100)) == len(matrices.best_fit_decreasing(lengths, 100))
 
 
-def test_matrices_give_documents_back(spark, docs_of):
-    rows = [(k, t) for k, t in enumerate(ODD)] + [(None, None), (99, "a b c " * 200)]
-    got = matrices.packed_matrices(docs_of(rows), BPE, capacity=32, buffer=200).collect()
+def test_matrices_give_documents_back(spark, docs_of, tmp_path):
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(None, None), (99, "a b c " * 2000)]
+    matrices.write_matrices(docs_of(rows), BPE, str(tmp_path / "m"), capacity=32, buffer=200)
+    got = matrices.read_matrices(spark, str(tmp_path / "m")).collect()
+    ids, positions = matrices.as_matrix(matrices.read_matrices(spark, str(tmp_path / "m")).toPandas(), 32)
+    assert ids.shape == positions.shape == (len(got), 32) and matrices.packed_matrices(docs_of(rows).limit(0), BPE).count() == 0
     parts = {}
     for r in got:
         ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<i4")

@@ -12,7 +12,8 @@ n-grams of each length, and the filter has a fixed size; both are small enough f
 
 Defined cases: null text or text without a letter is `und` with score 0; letters but no known n-gram: the language
 with the most training rows, score 0; without any training row everything is `und`; null ids are neither learned from
-nor held out; ties go to the first language in alphabetical order; other columns are ignored.
+nor held out; ties go to the first language in alphabetical order; a text of any length is judged whole; repeated rows
+are judged each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 def grams(text: str) -> tuple[np.ndarray, ...]:
     """Hashes of all character n-grams of the text's letters in lower case, words apart by one space; per length."""
     clean = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not clean:
+    if not any(map(str.isalpha, clean)):  # such as ½, which is a word character but no letter
         return ()
     c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     h, out = c, []

@@ -3,8 +3,9 @@
 Each task packs what it reads in buffers of a fixed number of tokens, so ids are never shuffled, memory is bounded and
 a lost task is simply run again. A buffer of B sequences leaves at most a fraction of one sequence unused.
 
-Defined cases: null or empty text is a document of the end id alone; overlong documents are cut into consecutive
-pieces without loss; an empty table gives no sequences; other columns are ignored.
+Defined cases: null or empty text is a document of the end id alone; overlong documents of any length are cut into
+consecutive pieces without loss; repeated rows and null or repeated ids are documents of their own; pieces of equal
+length are placed in the order read; an empty table gives no sequences; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_small_batches
@@ -95,14 +96,15 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
 
         for pdf in batches:
             keys = [None if pd.isna(k) else int(k) for k in pdf["_id"]]
-            for k in range(0, len(keys), 500):
-                for key, raw in zip(keys[k : k + 500], bpe.encode(pdf["_text"].iloc[k : k + 500].tolist()), strict=True):
-                    ids = raw + end
-                    held += [(key, n, ids[at : at + 4 * capacity]) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
-                    tokens += len(ids) // 4
-                if tokens >= buffer:
-                    yield packed()
-                    held, tokens = [], 0
+            for key, raw in zip(keys, bpe.encode(pdf["_text"].tolist()), strict=True):
+                ids = raw + end
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    piece = ids[at : at + 4 * capacity]
+                    if tokens + len(piece) // 4 > buffer and held:
+                        yield packed()
+                        held, tokens = [], 0
+                    held.append((key, n, piece))
+                    tokens += len(piece) // 4
         if held:
             yield packed()
 
@@ -110,10 +112,15 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
 
 
 def write_matrices(docs: DataFrame, path: str, out: str, **options) -> None:
-    """Write the matrices as Parquet: rows of fixed-width ids, one file set per task."""
-    packed_matrices(docs, path, **options).write.mode("overwrite").parquet(out)
+    """Write the matrices as Parquet (zstd: the positions, which start anew with each segment, shrink to almost nothing)."""
+    packed_matrices(docs, path, **options).write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
-def read_matrix(pdf: pd.DataFrame, capacity: int = CAPACITY) -> np.ndarray:
-    """The ids of some rows as a matrix."""
-    return np.frombuffer(b"".join(pdf["ids"]), "<u4").reshape(-1, capacity)
+def read_matrices(spark: SparkSession, out: str) -> DataFrame:
+    """What write_matrices wrote, one row per sequence."""
+    return spark.read.schema(MATRICES).parquet(out)
+
+
+def as_matrix(pdf: pd.DataFrame, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the positions of some rows, each as a matrix."""
+    return tuple(np.frombuffer(b"".join(pdf[c]), t).reshape(-1, capacity) for c, t in (("ids", "<u4"), ("position_ids", "<i4")))

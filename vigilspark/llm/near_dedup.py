@@ -11,8 +11,11 @@
 
 Rows and bands are chosen so that a pair at the threshold shares no band with probability under 1e-5.
 
+Sets are of 64-bit hashes of the shingles, equal sets are told by a 128-bit hash of theirs.
+
 Defined cases: texts without words (null, empty, white space) have no shingles and link with nothing; texts with fewer
-words than a shingle have their whole sequence as one; rows that repeat an id are rows of their own and share a
+words than a shingle have their whole sequence as one; a text of any length is one set, and blocks of pairs are cut by
+the bytes of their sets; a similarity of exactly the threshold links; rows that repeat an id are rows of their own and share a
 component if their sets do; null ids never name a component; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,16 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_small_batches, small, stash
+from .common import components, hot_join, in_small_batches, scratch, small, stash
 
 PERMUTATIONS = 256
 #: Signature values compared between two looks at the posterior.
 BATCH = 32
 #: Accepted probability of pruning a pair that is similar enough.
 MISS = 1e-6
-#: Buckets with up to so many members give their open pairs as rows; larger ones go through blocks of about BLOCK a side.
+#: Buckets with up to so many members give their open pairs as rows; larger ones go through blocks of about BLOCK members
+#: a side, and fewer if their sets would take more than BLOCK_BYTES.
 FEW = 12
-BLOCK = 512
+BLOCK = 256
+BLOCK_BYTES = 16 << 20
 
 SIGNED = "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"
 
@@ -209,45 +214,62 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def block_links(strays: DataFrame, members: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between strays and members of the same band but of different components, both (band, fp, root): a
-    spanning forest for each block. Signatures are compared in batches first; only blocks with survivors go on to the
-    full sets, and only survivors count."""
-    least, percent = least_matches(threshold, MISS), round(100 * threshold)
-    count = lambda df, c: df.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
-    parts = stash(count(strays, "xs").join(count(members, "ys"), "band"), "bucket-blocks")
+def in_blocks(strays: DataFrame, members: DataFrame, block: int, most: int) -> DataFrame:
+    """(band, i, j, x, fp, root): each stray (x) with each block of members of its band and the other way round. Blocks
+    are cut by number and by the bytes of the full sets."""
+    parts = lambda df, c: df.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") * 8 / most)).cast("int").alias(c))
+    parts = stash(parts(strays, "xs").join(parts(members, "ys"), "band"), "bucket-blocks")
     sides = strays.withColumn("x", F.lit(True)).unionByName(members.withColumn("x", F.lit(False))).join(parts, "band")
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("x"), F.col("xs")).otherwise(F.col("ys"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("x"), F.col("ys")).otherwise(F.col("xs")) - 1))
     sides = sides.select("band", "fp", "root", "x", own.alias("own"), other.alias("other"))
-    sides = sides.withColumn("i", F.when(F.col("x"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("x"), F.col("other")).otherwise(F.col("own")))
-    loaded = sides.join(nodes.select("fp", "sig"), "fp").join(sets, "fp").select("band", "i", "j", "x", "fp", "root", "sig", "s")
+    at = lambda first: F.when(F.col("x") == first, F.col("own")).otherwise(F.col("other"))
+    return sides.select("band", at(True).alias("i"), at(False).alias("j"), "x", "fp", "root")
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def open_pairs(x: pd.DataFrame, y: pd.DataFrame, least: tuple[int, ...]) -> np.ndarray:
+    """Which pairs of rows of x and y lie in different components and are pruned by no look at their signatures."""
+    left, right = (np.frombuffer(b"".join(d["sig"]), np.uint16).reshape(len(d), -1) for d in (x, y))
+    roots = pd.factorize(pd.concat([x["root"], y["root"]]))[0]
+    alive = roots[: len(x), None] != roots[None, len(x) :]
+    matches = np.zeros(alive.shape, np.int16)
+    for k, m in enumerate(least):
+        if not alive.any():
+            break
+        for c in range(k * BATCH, (k + 1) * BATCH):
+            matches += left[:, c, None] == right[None, :, c]
+        alive &= matches >= m
+    return alive
+
+
+def block_links(strays: DataFrame, members: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: float, block: int | None = None, most: int | None = None) -> DataFrame:
+    """Links (a, b) between strays and members of the same band but of different components, both (band, fp, root,
+    n_shingles): a spanning forest for each block. Blocks first hold signatures only; the full sets are fetched, and sent
+    to the blocks, for those members alone that have a pair left."""
+    least, percent = least_matches(threshold, MISS), round(100 * threshold)
+    sides = in_blocks(strays, members, block or BLOCK, most or BLOCK_BYTES)
+    signed = sides.join(nodes.select("fp", "sig"), "fp").select("band", "i", "j", "x", "fp", "root", "sig")
+
+    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["x"]], pdf[~pdf["x"]]
-        none = pd.DataFrame({"a": [], "b": []}, dtype=object)
         if not len(x) or not len(y):
-            return none
-        left, right = (np.frombuffer(b"".join(d["sig"]), np.uint16).reshape(len(d), -1) for d in (x, y))
-        number = {r: k for k, r in enumerate({*pdf["root"]})}
-        rx, ry = (np.array([number[r] for r in d["root"]]) for d in (x, y))
-        alive = rx[:, None] != ry[None]
-        matches = np.zeros(alive.shape, np.int16)
-        for k, m in enumerate(least):
-            if not alive.any():
-                return none
-            for c in range(k * BATCH, (k + 1) * BATCH):
-                matches += left[:, c, None] == right[None, :, c]
-            alive &= matches >= m
-        if not alive.any():
-            return none
-        rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        sx, sy = ([np.frombuffer(d["s"].iloc[k], np.uint64) for k in at] for d, at in ((x, rows), (y, cols)))
+            return pdf[:0]
+        alive = open_pairs(x, y, least)
+        return pd.concat([x[alive.any(axis=1)], y[alive.any(axis=0)]])
+
+    left = stash(signed.groupBy("band", "i", "j").applyInPandas(prune, signed.schema), "open-blocks")
+    if left.isEmpty():
+        return left.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    loaded = left.join(full_sets(left.select("fp"), docs, nodes, words), "fp")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["x"]], pdf[~pdf["x"]]
+        alive = open_pairs(x, y, least)
+        sx, sy = ([np.frombuffer(s, np.uint64) for s in d["s"]] for d in (x, y))
         both = intersections(sx, sy)
         nx, ny = np.array([len(s) for s in sx]), np.array([len(s) for s in sy])
-        hit = alive[np.ix_(rows, cols)] & (100 * both >= percent * (nx[:, None] + ny[None] - both))
-        fx, fy = x["fp"].to_numpy()[rows], y["fp"].to_numpy()[cols]
-        return pd.DataFrame(forest(hit, fx, fy), columns=["a", "b"], dtype=object)
+        hit = alive & (100 * both >= percent * (nx[:, None] + ny[None] - both))
+        return pd.DataFrame(forest(hit, x["fp"].to_numpy(), y["fp"].to_numpy()), columns=["a", "b"], dtype=object)
 
     return loaded.groupBy("band", "i", "j").applyInPandas(verify, "a binary, b binary")
 
@@ -280,9 +302,20 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, named:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its group, its own if alone),
     kept (doc_id = component_id). If named also sha (of its text) and root, which names the group whatever its ids are
     (null without shingles)."""
+    with scratch(docs.sparkSession):
+        rows, of_node = grouped(docs, words, threshold, named)
+    out = hot_join(rows.where("fp is not null"), of_node, ["fp"], "copies")
+    none = rows.where("fp is null").withColumn("component_id", F.col("doc_id"))
+    out = out.unionByName(none.withColumn("root", F.lit(None).cast("binary")) if named else none)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, *(["sha", "root"] if named else []))
+
+
+def grouped(docs: DataFrame, words: int, threshold: float, named: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, fp, and sha if named) of each row, and (fp, copies, component_id, and root if named) of each node."""
     rows = stash(signed(docs, words, threshold, named), "signed")
     sets = rows.where("fp is not null")
-    nodes = stash(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = stash(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("fp", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("m")).where("m > 1")
     members = stash(banded.join(stash(heads.select("band", "head"), "heads"), "band"), "members")
@@ -309,20 +342,18 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, named:
     if not again.isEmpty():
         more.append(stash(confirmed(stash(plausible(again, nodes, threshold), "second-survivors"), docs, nodes, words, threshold), "second-links"))
     if not many.isEmpty():
-        sets = full_sets(many.select("fp"), docs, nodes, words)
-        cols = ["band", "fp", "root"]
-        more.append(stash(block_links(many.where("root != most").select(*cols), many.select(*cols), sets, nodes, threshold), "block-links"))
+        many = stash(many.join(nodes.select("fp", "n_shingles"), "fp"), "open-many")
+        cols = ["band", "fp", "root", "n_shingles"]
+        more.append(stash(block_links(many.where("root != most").select(*cols), many.select(*cols), docs, nodes, words, threshold), "block-links"))
     for found in more:
         links = links.unionByName(found)
     if more:
         labels = components(links)
 
     # The smallest doc_id of each component, then one thin row per document.
-    rooted = nodes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.select("fp", "doc_id", "copies").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", "copies", F.coalesce("root", "fp").alias("root"))
     rooted = stash(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    sha, root = (["sha"], ["root"]) if named else ([], [])
-    of_node = stash(rooted.join(stash(smallest, "smallest"), "root").select("fp", "component_id", *root), "of-node")
-    out = rows.select("doc_id", "n_shingles", "fp", *sha).join(of_node, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *sha, *root)
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
+    of_node = stash(hot_join(rooted, stash(smallest, "smallest"), ["root"], "m").select("fp", "copies", "component_id", *(["root"] if named else [])), "of-node", keep=True)
+    thin = rows.select("doc_id", "n_shingles", "fp", *(["sha"] if named else []))
+    return stash(thin, "near-thin", keep=True), of_node

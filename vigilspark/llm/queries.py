@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, lm_score, matrices, near_dedup, packing, pieces, secrets, url_filter, vectors
+from .common import shared_dir
 
 
 def tokenizer(name: str) -> str:
@@ -50,8 +52,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matrices.packed_matrices(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
-    return out.select(
+    """Written, then read back for the digests."""
+    out = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    matrices.write_matrices(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), out)
+    return matrices.read_matrices(spark, out).select(
         "sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32")
     )
 
