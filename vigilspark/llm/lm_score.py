@@ -2,7 +2,8 @@
 
 Tokens are characters; n-grams of 1 to 4 tokens of both models share one vocabulary, the n-grams of all documents. The
 target model counts the documents labelled good, the background model counts all documents; the background is matched to
-the target's mass, so both are smoothed alike. Each order is smoothed towards the next shorter one. A document's score
+the target's mass, so both are smoothed alike. Each order is smoothed towards the next shorter one, and single characters towards even shares of the vocabulary, so
+either model's probabilities of what follows a context add up to 1. A document's score
 is the mean over its tokens of -log p_target + log p_background: the lower, the more like the target.
 
 N-grams are told apart by their characters, never by a hash, and their counts are Spark tables. As every token ends just
@@ -12,8 +13,8 @@ rows are counted for the models, then joined to the 4-grams' log probabilities a
 the documents are taken. A 4-gram that every document has is one row per batch, so no key is hot.
 
 Defined cases: null or empty text has no tokens and null scores; without a target row both models are the background
-and all differences are 0; repeated rows count and are scored each; null ids have no label; an empty table gives no
-rows; other columns are ignored.
+and all differences are 0; repeated rows count and are scored each; null ids have no label; labels that repeat count
+once; a text of any length is scored whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, small, stash
+from .common import in_small_batches, scratch, small, stash
 
 ORDER = 4
 #: Fills the early contexts; not a character.
 START = 0x110000
 #: Weight of the shorter context's estimate, in counts.
 PRIOR = 4.0
-#: Characters are smoothed as if each of so many had been seen so often.
-ALPHABET, FLOOR = 4096, 0.1
+#: Each character of the shared vocabulary counts as seen so often more.
+FLOOR = 0.1
 #: The n-gram of no tokens, counted once a token.
 SLOTS = b""
 #: The largest count of an entry.
@@ -133,13 +134,13 @@ def tables(rows: DataFrame) -> list[DataFrame]:
 def probabilities(orders: list[DataFrame]) -> DataFrame:
     """(gram, lt, lb): -log of the target's and of the background's probability of each 4-gram's last token."""
     good, total = orders[0].agg(F.sum("good"), F.sum("total")).first()
-    total = total or 0
+    total, alphabet = total or 0, max(1, orders[0].count())
     match = (good or total) / max(1.0, total)
     sides = (("good" if good else "total", 1.0 if good else match, "pt"), ("total", match, "pb"))
     last = None
     for k, table in enumerate(orders):
         if last is None:
-            p = [((F.col(c) * m + FLOOR) / (total * match + FLOOR * ALPHABET)).alias(name) for c, m, name in sides]
+            p = [((F.col(c) * m + FLOOR) / (total * match + FLOOR * alphabet)).alias(name) for c, m, name in sides]
             last = stash(table.select("gram", *p), "p-1")
             continue
         before = stash(shorter(table, 0, 4 * k, "_before", "_good", "_total"), f"contexts-{k}")
@@ -160,12 +161,17 @@ def counts(docs: DataFrame) -> tuple[dict, dict]:
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ce_target, ce_background (nats a token), score (their difference)."""
+    with scratch(docs.sparkSession):
+        return batch_scores(docs, labels)
+
+
+def batch_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = stash(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct(), "targets")
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     marked = rows.join(small(good, good.count()), F.col("doc_id") == F.col("_good"), "left").withColumn("target", F.col("_good").isNotNull())
-    held = stash(grams_of(marked), "batch-grams")
+    held = stash(grams_of(marked), "batch-grams", keep=True)
     logs = probabilities(tables(held.select("gram", "good", "total")))
-    logs = stash(logs, "logs")
+    logs = stash(logs, "logs", keep=True)
     joined = held.select("batch", "gram", "who", "times", "ids").join(small(logs, logs.count()), "gram", "left").drop("gram")
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,12 +1,13 @@
 """URL filters (operator 7): host and path rules, and logistic regression on hashed character n-grams.
 
 Everything is DataFrame functions: a url's features are the different hashed n-grams of host and path (kept apart), a
-weight vector of fixed length is fitted by a fixed number of full-batch gradient steps over a small labelled table,
-each one join and one aggregate, and a url's score is the sum of its slots' weights.
+weight vector of fixed length and an intercept are fitted by a fixed number of full-batch steps over a small labelled
+table, each one join and one aggregate; a url's score is the sum of its slots' weights, which go along as one literal.
 
 Defined cases: null urls and urls without `://` have empty host and path, fit no rule and are judged by the intercept
 and no n-grams; a labelled table without rows, or with one verdict only, gives weights of 0 and an intercept for that
-verdict (allow if empty); repeated rows are judged each; other columns are ignored.
+verdict (allow if empty); a probability of exactly 0.5 is block; of rules that fit the longest wins; a url of any length
+is judged whole; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stash
+from .common import lower_ascii, scratch, stash
 
 #: Verdict by rule, host and path joined.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
 SLOTS = 4096
 GRAMS = (3, 4)
-STEPS = 12
-RATE = 2.0
-#: At most about so many urls make the labelled table.
+STEPS = 24
+#: Weight of the squared weights in the loss.
+DECAY = 0.01
+#: At most about so many different urls make the labelled table.
 LABELLED = 2000
 
 
@@ -59,45 +61,63 @@ def slots(host: Column, path: Column, n_slots: int = SLOTS) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def fit(labelled: DataFrame, steps: int = STEPS, rate: float = RATE) -> tuple[DataFrame, float]:
-    """Weights (slot, weight), at most SLOTS rows, and the intercept, of P(block), from (url, blocked 0/1)."""
+def fit(labelled: DataFrame, steps: int = STEPS) -> tuple[list[float], float]:
+    """The weights of all slots (0 for those not met) and the intercept of P(block), from (url, blocked 0/1).
+
+    Every step is one join and one aggregate: a gradient step from an extrapolated point (Nesterov's), scaled for each
+    slot by a bound of the curvature there, so it cannot overshoot. The intercept is slot -1 and is fitted along. What
+    comes to the driver are SLOTS + 1 numbers at most."""
     host, path = split_url(F.col("url"))
     rows = labelled.where("blocked is not null").select(F.monotonically_increasing_id().alias("id"), F.col("blocked").cast("double").alias("y"), slots(host, path).alias("s"))
     rows = stash(rows, "labelled-urls")
     n, blocked = rows.agg(F.count("*"), F.sum("y")).first()
-    share = ((blocked or 0) + 0.5) / (n + 1.0) if n else 0.0
-    intercept = log(share / (1 - share)) if n else -1.0
-    x = stash(rows.select("id", "y", F.explode("s").alias("slot"), (1 / F.sqrt(F.size("s"))).alias("v")), "url-features")
-    weights = x.select("slot").distinct().withColumn("weight", F.lit(0.0))
+    start = log((blocked + 0.5) / (n - blocked + 0.5)) if n else -1.0
     if not n or blocked in (0, n):
-        return stash(weights, "url-weights"), intercept
-    for _ in range(steps):
-        margin = x.join(F.broadcast(weights), "slot").groupBy("id", "y").agg(F.sum(F.col("v") * F.col("weight")).alias("z"))
-        error = margin.select("id", (F.col("y") - 1 / (1 + F.exp(-(F.col("z") + intercept)))).alias("e"))
-        gradient = x.join(error, "id").groupBy("slot").agg(F.sum(F.col("e") * F.col("v")).alias("g"), F.count("*").alias("m"))
-        step = F.col("weight") * 0.999 + rate * F.col("g") / F.sqrt(F.col("m") + 1.0)
-        weights = stash(weights.join(gradient, "slot").select("slot", step.alias("weight")), "url-weights")
-    return weights, intercept
+        return [0.0] * SLOTS, start
+    root = F.sqrt(F.greatest(F.size("s"), F.lit(1)))
+    x = rows.select("id", "y", root.alias("root"), F.explode(F.concat("s", F.array(F.lit(-1)))).alias("slot"))
+    x = stash(x.withColumn("v", F.when(F.col("slot") < 0, 1.0).otherwise(1 / F.col("root"))), "url-features")
+    first = F.when(F.col("slot") < 0, start).otherwise(0.0)
+    weights = x.groupBy("slot").agg(F.sum(F.col("v") * (F.col("root") + 1) / 4).alias("bound")).select("slot", "bound", first.alias("weight"), first.alias("last"))
+    for k in range(steps):
+        ahead = F.col("weight") + k / (k + 3) * (F.col("weight") - F.col("last"))
+        weights = weights.withColumn("ahead", ahead)
+        margin = x.join(F.broadcast(weights), "slot").groupBy("id", "y").agg(F.sum(F.col("v") * F.col("ahead")).alias("z"))
+        error = margin.select("id", (F.col("y") - 1 / (1 + F.exp(-F.col("z")))).alias("e"))
+        gradient = x.join(error, "id").groupBy("slot").agg(F.sum(F.col("e") * F.col("v")).alias("g"))
+        decay = F.when(F.col("slot") < 0, 0.0).otherwise(DECAY)
+        step = F.col("ahead") + (F.col("g") - decay * F.col("ahead")) / (F.col("bound") + decay)
+        weights = stash(weights.join(gradient, "slot").select("slot", "bound", step.alias("weight"), F.col("weight").alias("last")), "url-weights")
+    found = {r["slot"]: r["weight"] for r in weights.collect()}
+    return [found.get(k, 0.0) for k in range(SLOTS)], found[-1]
+
+
+def decided(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+    """(url, blocked 0/1), the different urls of pages that a rule decides."""
+    host, path = split_url(F.col("url"))
+    verdict = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
+    out = pages.select("url", rule_of(host, path, rules).alias("rule")).where("rule is not null")
+    return out.select("url", (F.element_at(verdict, F.col("rule")) == "block").cast("int").alias("blocked")).distinct()
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: dict[str, str] = RULES) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, and the model's probability of block.
 
-    labelled holds (url, blocked). If it is not given, a bounded sample of the pages that a rule decides serves as
-    labelled table, with the rule's verdict as label."""
+    labelled holds (url, blocked). If it is not given, about LABELLED of the different urls that a rule decides, chosen by
+    their hash, serve as labelled table, with the rule's verdict as label."""
     host, path = split_url(F.col("url"))
-    out = pages.select(F.col("page_id"), F.col("url"), host.alias("host"), path.alias("path"))
+    out = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(rules[r])).otherwise(c), rules, F.lit(None).cast("string"))
-    if labelled is None:
-        decided = out.where("rule is not null").select("url", (by_rule == "block").cast("int").alias("blocked"))
-        share = min(1.0, LABELLED / max(1, decided.count()))
-        labelled = decided.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
-    weights, intercept = fit(labelled)
-    vector = weights.agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("w"))
-    table = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.coalesce(F.element_at("w", k), F.lit(0.0)))
-    out = out.crossJoin(F.broadcast(vector.select(table.alias("w")))).withColumn("s", slots(F.col("host"), F.col("path")))
-    z = F.aggregate("s", F.lit(0.0), lambda a, k: a + F.element_at("w", k + 1)) / F.sqrt(F.greatest(F.size("s"), F.lit(1)))
+    with scratch(pages.sparkSession):
+        if labelled is None:
+            every = stash(decided(pages, rules), "decided-urls")
+            share = min(1.0, LABELLED / max(1, every.count()))
+            labelled = every.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
+        weights, intercept = fit(labelled)
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # one literal once folded
+    out = out.withColumn("s", slots(F.col("host"), F.col("path")))
+    z = F.aggregate("s", F.lit(0.0), lambda a, k: a + F.element_at(table, k + 1)) / F.sqrt(F.greatest(F.size("s"), F.lit(1)))
     p = 1 / (1 + F.exp(-(z + intercept)))
     verdict = F.coalesce(by_rule, F.when(p >= 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), p.alias("p_block"))
