@@ -39,7 +39,7 @@ SAMPLE = 20_000
 RECALL = 0.97
 #: Rows of a cell, on average.
 CELL = 128
-#: Members and queries of a block at most about so many each.
+#: Members and queries of a block at most about so many each where codes are compared; vectors meet in blocks of an eighth.
 BLOCK = 1024
 
 
@@ -191,6 +191,19 @@ def typed(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
 
 
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (cell, id, query) dealt to blocks (cell, m, q) of about so many members and queries: members go to one of a
+    cell's blocks of members and to each of its blocks of queries, queries the other way round."""
+    count = lambda asks: F.ceil(F.sum((F.col("query") == asks).cast("int")) / block).cast("int")
+    parts = stash(rows.groupBy("cell").agg(count(False).alias("mb"), count(True).alias("qb")).where("mb > 0 and qb > 0"), "blocks")
+    spread = rows.join(small(parts, parts.count()), "cell")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("mb"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb")) - 1))
+    spread = spread.select("id", "cell", "query", own.alias("own"), other.alias("other"))
+    at = lambda asks: F.when(F.col("query") == asks, F.col("own")).otherwise(F.col("other"))
+    return spread.select("cell", at(False).alias("m"), at(True).alias("q"), "query", "id")
+
+
 def links(classes: DataFrame, grid: Grid, threshold: float, block: int = BLOCK) -> DataFrame:
     """For each block of a cell: rows (a, b, n) with a's links there summed over copies, and forest edges a - b.
 
@@ -208,30 +221,26 @@ def links(classes: DataFrame, grid: Grid, threshold: float, block: int = BLOCK)
     placed = stash(classes.select("id", "label", "size", "embedding").mapInPandas(place, "id long, label string, size long, home long, cells array<long>, bar double, code binary"), "cells")
     members = placed.select(F.col("home").alias("cell"), "id", F.lit(False).alias("query"))
     asked = placed.select(F.explode("cells").alias("cell"), "id", F.lit(True).alias("query"))
-    parts = lambda df, c: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(c))
-    parts = stash(parts(members, "mb").join(parts(asked, "qb"), "cell"), "blocks")
-    # Members go to one of mb blocks and to every query block, and the other way round.
-    spread = members.unionByName(asked).join(small(parts, parts.count()), "cell")
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("mb"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("mb")).otherwise(F.col("qb")) - 1))
-    spread = spread.select("id", "cell", "query", own.alias("own"), other.alias("other"))
-    at = lambda asks: F.when(F.col("query") == asks, F.col("own")).otherwise(F.col("other"))
-    spread = spread.select("cell", at(False).alias("m"), at(True).alias("q"), "query", "id")
+    spread = in_blocks(members.unionByName(asked), block)
     thin = spread.join(placed.select("id", F.xxhash64("label").alias("kind"), "code"), "id").select("cell", "m", "q", "query", "id", "kind", "code")
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, have = pdf[pdf["query"]], pdf[~pdf["query"]]
         if not len(ask) or not len(have):
-            return pdf[:0].drop(columns=["kind", "code"])
+            return pdf[:0][["cell", "query", "id"]]
         hit = maybe_near([*ask["code"]], [*have["code"]], threshold)
         hit &= (ask["id"].to_numpy()[:, None] != have["id"].to_numpy()[None]) & (ask["kind"].to_numpy()[:, None] == have["kind"].to_numpy()[None])
-        return pd.concat([ask[hit.any(axis=1)], have[hit.any(axis=0)]]).drop(columns=["kind", "code"])
+        return pd.concat([ask[hit.any(axis=1)], have[hit.any(axis=0)]])[["cell", "query", "id"]]
 
-    left = stash(thin.groupBy("cell", "m", "q").applyInPandas(prune, "cell long, m int, q int, query boolean, id long"), "near-blocks")
+    # What is left is often one dense group of a cell, so it is dealt anew to smaller blocks.
+    left = thin.groupBy("cell", "m", "q").applyInPandas(prune, "cell long, query boolean, id long")
+    left = in_blocks(stash(left.distinct(), "near-rows"), -(-block // 8))
     loaded = left.join(placed.select("id", "label", "size", "home", "bar"), "id").join(classes.select("id", "embedding"), "id")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, have = pdf[pdf["query"]], pdf[~pdf["query"]]
+        if not len(ask) or not len(have):
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
         x, y = unit(ask["embedding"]), unit(have["embedding"])
         qi, mi = ask["id"].to_numpy(), have["id"].to_numpy()
         hit = near(x, y, threshold) & (qi[:, None] != mi[None]) & (ask["label"].to_numpy()[:, None] == have["label"].to_numpy()[None])
