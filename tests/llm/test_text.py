@@ -157,7 +157,7 @@ def vector_rows():
     return rows
 
 
-@pytest.mark.parametrize("cell, block", [(1000, 1024), (16, 1024), (100, 8)])
+@pytest.mark.parametrize("cell, block", [(1000, 1024), (16, 1024), (100, 256)])
 def test_vectors_equal_brute_force(spark, monkeypatch, cell, block):
     """Row by row: with one cell, and with a recall of 1, everything is found; more cells and small blocks change nothing."""
     monkeypatch.setattr(vectors, "CELL", cell)
