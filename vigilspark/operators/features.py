@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FEATURES, MIN_STD, haversine_km, hour_of_day, n_commands, zscore
+from ..sources.shared import written
 from .ranking import exact_quantile
 from .sequence import transition_scores
 
@@ -21,9 +22,7 @@ def by_entity(*more: str) -> WindowSpec:
 
 
 def with_basics(df: DataFrame) -> DataFrame:
-    """hour_of_day and n_commands; entity_type as that of the entity's first row."""
-    first = F.first("entity_type").over(by_entity())
-    return df.withColumns({"hour_of_day": hour_of_day(F.col("timestamp")), "n_commands": n_commands(F.col("command_sequence")), "entity_type": first})
+    return df.withColumns({"hour_of_day": hour_of_day(F.col("timestamp")), "n_commands": n_commands(F.col("command_sequence"))})
 
 
 def population_priors(df: DataFrame) -> DataFrame:
@@ -37,7 +36,8 @@ def population_priors(df: DataFrame) -> DataFrame:
 
 def entity_windows(df: DataFrame, priors: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
     """All features that look at the entity's own past, and rolling_fail_5."""
-    df = with_basics(df).join(F.broadcast(priors), "entity_type", "left")
+    first = F.first("entity_type").over(by_entity())  # an entity's prior is that of its first row's type
+    df = with_basics(df).withColumn("_type", first).join(F.broadcast(priors.withColumnRenamed("entity_type", "_type")), "_type", "left").drop("_type")
     prior = by_entity().rowsBetween(Window.unboundedPreceding, -1)
     cold = F.row_number().over(by_entity()) <= min_history
     seen = lambda *c: F.row_number().over(by_entity(*c)) > 1
@@ -80,7 +80,8 @@ def fill_median(df: DataFrame, column: str) -> DataFrame:
 def build_features(df: DataFrame, pop_order: str = "entity") -> DataFrame:
     """One row per event: ids, label, hour_of_day and the 15 model features."""
     df = df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("string"))
-    out = ip_distinct_entities(entity_windows(df, population_priors(df)))
+    keep = ["event_id", "entity_id", "entity_type", "label", "hour_of_day", *[c for c in FEATURES if c != "seq_transition_score"]]
+    out = written(ip_distinct_entities(entity_windows(df, population_priors(df))).select(*keep), "windows")
     out = fill_median(out, "time_since_last_s")
     out = out.join(transition_scores(df, pop_order).select("event_id", "seq_transition_score"), "event_id", "left")
     out = out.withColumns({"seq_transition_score": F.coalesce("seq_transition_score", F.lit(50.0)), "auth_success": F.col("auth_success").cast("long")})

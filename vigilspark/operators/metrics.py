@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .ranking import average_ranks, exact_quantile, running_totals
 
 
@@ -36,14 +37,14 @@ def evaluate_detection(scored: DataFrame, pct: float = 95) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Rank-based, ties averaged."""
     pos = scored.groupBy("risk_score").agg(F.sum(positive()).alias("p"))
-    j = pos.join(average_ranks(scored, "risk_score"), "risk_score").agg(F.sum(F.col("p") * F.col("rank")).alias("s"), F.sum("p").alias("p"), F.max("total").alias("n"))
+    j = pos.join(average_ranks(scored, "risk_score").drop("n"), "risk_score").agg(F.sum(F.col("p") * F.col("rank")).alias("s"), F.sum("p").alias("p"), F.max("total").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     return j.select(((F.col("s") - p * (p + 1) / 2) / (p * n)).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Sum of precision times the step in recall over the different thresholds, highest first."""
-    by = scored.where("risk_score is not null").groupBy("risk_score").agg(F.count("*").alias("n"), F.sum(positive()).alias("p"))
+    by = written(scored.where("risk_score is not null").groupBy("risk_score").agg(F.count("*").alias("n"), F.sum(positive()).alias("p")), "scores")
     run = running_totals(by, "risk_score", "n", "p", descending=True)
     precision = (F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))
     return run.agg((F.sum(precision * F.col("p")) / F.sum("p")).alias("average_precision"))

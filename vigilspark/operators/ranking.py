@@ -1,7 +1,7 @@
-"""Global ranks and exact quantiles without a one-task window.
+"""Global ranks, running totals and exact quantiles without a one-task window.
 
-Values are counted, cut into buckets at approximate quantiles, summed inside each bucket by a window and shifted by the
-totals of the buckets below: at most CUTS + 1 rows pass the driver or a broadcast.
+Rows are dealt by ranges of their values to buckets of about ROWS, summed inside each bucket by a window and shifted by
+the totals of the buckets before. The number of buckets follows the number of rows.
 """
 
 from __future__ import annotations
@@ -9,40 +9,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 63
+from ..sources.shared import written
 
+ROWS = 200_000
+#: Tables of values up to so many rows of a few numbers are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: A value is hot if it has more than one in so many of the rows; hence there are fewer hot values than that.
+HOT_SHARE = 1000
 
-def running_totals(values: DataFrame, value: str, *sums: str, descending: bool = False) -> DataFrame:
-    """values (one row per different value) with, for each column of sums, before_<column>: its sum over lower
-    (descending: higher) values."""
-    cuts = sorted({*values.where(F.col(value).isNotNull()).approxQuantile(value, [k / (CUTS + 1) for k in range(1, CUTS + 1)], 0.01)})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    cut = values.withColumn("_bucket", bucket)
-    w = Window.partitionBy("_bucket").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    over = Window.orderBy(F.desc("_bucket") if descending else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(over), F.lit(0)).alias(f"_s_{c}") for c in sums])
-    out = cut.join(F.broadcast(shifts), "_bucket")
+
+def running_totals(values: DataFrame, value: str, *sums: str, descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """values with, for each column of sums, before_<column>: its sum over lower (descending: higher) values, among rows
+    that share the columns by. values is a written table, as it is read several times; its values differ within by."""
+    order = F.desc(value) if descending else F.asc(value)
+    earlier = lambda *keys: Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    frame = (Window.unboundedPreceding, -1)
+    buckets = -(-values.count() // ROWS)
+    if buckets <= 1:
+        w = earlier(*by).orderBy(order).rowsBetween(*frame)
+        return values.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in sums])
+    cut = written(values.repartitionByRange(buckets, *by, order).withColumn("_bucket", F.spark_partition_id()), "buckets")
+    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    over = earlier(*by).orderBy("_bucket").rowsBetween(*frame)
+    shifts = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(over), F.lit(0)).alias(f"_s_{c}") for c in sums])
+    w = Window.partitionBy("_bucket", *by).orderBy(order).rowsBetween(*frame)
+    out = cut.join(shifts if by else F.broadcast(shifts), [*by, "_bucket"])
     return out.select(*values.columns, *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_s_{c}")).alias(f"before_{c}") for c in sums])
 
 
+def counted(df: DataFrame, value: str) -> DataFrame:
+    return written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), "counts")
+
+
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, rank, total): average rank of each different non-null value, ties sharing theirs, and the row count."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    """(value, n, rank, total): average rank of each different non-null value, ties sharing theirs, and the row count."""
+    counts = counted(df, value)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    ranked = running_totals(counts, value, "n").select(value, (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = running_totals(counts, value, "n").select(value, "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
     return ranked.crossJoin(F.broadcast(total))
 
 
 def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with out = 100 * average rank / rows, to 2 decimals half-even on the float; null for null values."""
-    ranks = average_ranks(df, value).select(value, (F.rint(F.col("rank") / F.col("total") * 100 * 100) / 100).alias(out))
-    return df.join(ranks, value, "left")
+    """df (a written table) with out = 100 * average rank / rows, to 2 decimals half-even on the float; null for nulls.
+
+    Few values are broadcast. Of many, those that fill whole tasks are, and the others are shuffled; rows that need no
+    second look then go to any task."""
+    ranks = written(average_ranks(df, value).select(F.col(value).alias("_v"), "n", "total", (F.rint(F.col("rank") / F.col("total") * 100 * 100) / 100).alias(out)), "ranks")
+    if ranks.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(ranks.select("_v", out)), F.col(value) == F.col("_v"), "left").drop("_v")
+    hot = F.col("n") > F.col("total") / HOT_SHARE
+    met = df.join(F.broadcast(ranks.where(hot).select(F.col("_v").alias("_h"), F.col(out).alias("_hot"))), F.col(value) == F.col("_h"), "left")
+    met = met.withColumn("_spread", F.when(F.col("_hot").isNull() & F.col(value).isNotNull(), 0).otherwise(1 + (F.rand(7) * 100_000).cast("int")))
+    rest = ranks.where(~hot).select("_v", out, F.lit(0).alias("_zero"))
+    found = met.join(rest, (F.col(value) == F.col("_v")) & (F.col("_spread") == F.col("_zero")), "left")
+    return found.withColumn(out, F.coalesce("_hot", out)).select(*df.columns, out)
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, out: str = "quantile") -> DataFrame:
     """One row: the linearly interpolated quantile of the non-null values (null if there are none)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    counts = counted(df, value)
     total = counts.agg(F.sum("n").alias("total"))
     placed = running_totals(counts, value, "n").crossJoin(F.broadcast(total)).withColumn("at", q * (F.col("total") - 1))
     pick = lambda k: F.min(F.when((F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n")), F.col(value)))

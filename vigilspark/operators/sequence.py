@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import marginal_probability, transition_probability
-from .ranking import percent_ranks
+from ..sources.shared import written
+from .ranking import percent_ranks, running_totals
 
 
 def before(*keys: str) -> object:
@@ -27,9 +28,8 @@ def entity_transitions(df: DataFrame) -> DataFrame:
 
 def prefix(moves: DataFrame, keys: list[str], bucket: str, out: str) -> DataFrame:
     """For each keys and bucket: how many of moves lie in lower buckets."""
-    n = moves.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return n.select(*keys, bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(out))
+    n = written(moves.groupBy(*keys, bucket).agg(F.count("*").alias("_n")), out)
+    return running_totals(n, bucket, "_n", by=tuple(keys)).select(*keys, bucket, F.col("before__n").alias(out))
 
 
 def population_counts(moves: DataFrame, order: str = "entity") -> DataFrame:
@@ -39,6 +39,7 @@ def population_counts(moves: DataFrame, order: str = "entity") -> DataFrame:
         moves = moves.withColumn("bucket", F.col("entity_id"))
     else:
         moves = moves.withColumn("bucket", F.date_trunc("hour", "timestamp"))
+    moves = written(moves, "moves")
     linked, heads = moves.where("prev is not null"), moves.where("prev is null")
     edge, node = ["entity_type", "prev", "cur"], ["entity_type", "prev"]
     out = linked.join(prefix(linked, edge, "bucket", "pop_edge"), [*edge, "bucket"]).join(prefix(linked, node, "bucket", "pop_node"), [*node, "bucket"])
@@ -47,8 +48,8 @@ def population_counts(moves: DataFrame, order: str = "entity") -> DataFrame:
     # First events: totals, the resource's count and the number of resources first met in lower buckets.
     first_met = moves.groupBy("entity_type", "cur").agg(F.min("bucket").alias("bucket"))
     buckets = moves.groupBy("entity_type", "bucket").agg(F.count("*").alias("n")).join(first_met.groupBy("entity_type", "bucket").agg(F.count("*").alias("d")), ["entity_type", "bucket"], "left")
-    w = Window.partitionBy("entity_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = buckets.select("entity_type", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("total"), F.coalesce(F.sum(F.coalesce("d", F.lit(0))).over(w), F.lit(0)).alias("different"))
+    buckets = written(buckets.na.fill(0, ["d"]), "first-met")
+    totals = running_totals(buckets, "bucket", "n", "d", by=("entity_type",)).select("entity_type", "bucket", F.col("before_n").alias("total"), F.col("before_d").alias("different"))
     met = prefix(moves, ["entity_type", "cur"], "bucket", "resource_count")
     starts = heads.join(totals, ["entity_type", "bucket"]).join(met, ["entity_type", "cur", "bucket"])
     if order != "entity":
@@ -69,7 +70,7 @@ def transition_scores(df: DataFrame, pop_order: str = "entity") -> DataFrame:
     c = population_counts(entity_transitions(df), pop_order)
     p = F.when(F.col("prev").isNull(), marginal_probability(F.col("resource_count"), F.col("total"), F.col("different"))).otherwise(transition_probability(F.col("entity_edge"), F.col("entity_node"), F.col("pop_edge"), F.col("pop_node")))
     out = c.select("event_id", F.col("prev").alias("prev_resource"), (F.round(-F.ln(F.greatest(p, F.lit(1e-9))), 9) + 0.0).alias("seq_neg_log_prob"))
-    return percent_ranks(out, "seq_neg_log_prob", "seq_transition_score").select("event_id", "prev_resource", "seq_neg_log_prob", "seq_transition_score")
+    return percent_ranks(written(out, "transitions"), "seq_neg_log_prob", "seq_transition_score").select("event_id", "prev_resource", "seq_neg_log_prob", "seq_transition_score")
 
 
 def mean_score_by_label(scores: DataFrame, df: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import alerts, features, forest, metrics, ranking, sequence
-from ..sources.access_log import TEST_LOG_SQL, log_of_events, split_ground_truth, validate_events
+from ..sources.access_log import split_ground_truth, validate_events
 from ..sources.shared import written
+from .event_log import TEST_LOG_SQL, log_of_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
