@@ -9,15 +9,20 @@ DETAILS = ("timestamp", "source_ip", "geo_location", "resource_accessed", "auth_
 HISTORY = ("timestamp", "resource_accessed", "geo_location", "auth_success", "session_duration_min", "label")
 
 
+#: More alerts than this are not broadcast.
+MANY = 100_000
+
+
 def top_alerts(scored: DataFrame, n: int = 150) -> DataFrame:
     return scored.orderBy(F.desc("risk_score"), "event_id").limit(n)
 
 
 def attach_details(top: DataFrame, log: DataFrame) -> DataFrame:
-    """The few alerts with the raw columns that they lack; the log is only filtered, by a broadcast of the alerts."""
+    """The alerts with the raw columns that they lack; the log is only filtered, by a broadcast of the alerts if few."""
     details = [c for c in DETAILS if c not in top.columns]
-    found = log.join(F.broadcast(top.select("event_id")), "event_id", "left_semi").select("event_id", *details)
-    return top.join(F.broadcast(found), "event_id", "left")
+    few = F.broadcast if top.limit(MANY + 1).count() <= MANY else (lambda df: df)
+    found = log.join(few(top.select("event_id")), "event_id", "left_semi").select("event_id", *details)
+    return top.join(few(found), "event_id", "left")
 
 
 def alert_queue(scored: DataFrame, log: DataFrame, n: int = 150) -> DataFrame:
@@ -39,7 +44,8 @@ def alert_summary(alerts: DataFrame, scored: DataFrame) -> DataFrame:
 
 def entity_history(alerts: DataFrame, log: DataFrame, n: int = 15) -> DataFrame:
     """For each entity in the queue its last n events, ascending, as one array."""
-    own = log.join(F.broadcast(alerts.select("entity_id").distinct()), "entity_id", "left_semi")
+    few = F.broadcast if alerts.limit(MANY + 1).count() <= MANY else (lambda df: df)
+    own = log.join(few(alerts.select("entity_id").distinct()), "entity_id", "left_semi")
     k = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("timestamp"), F.desc("event_id")))
     last = own.withColumn("_k", k).where(F.col("_k") <= n)
     rows = F.sort_array(F.collect_list(F.struct(F.col("timestamp"), F.col("event_id"), *[c for c in HISTORY if c != "timestamp"])))

@@ -1,7 +1,8 @@
 """Registered queries over the log derived from the table events, and their SQL for DuckDB.
 
-Model scores have no SQL form, so the metric queries use stand-ins: session length as risk_score, and the label as
-predicted category, `normal` under 10 minutes.
+Model scores have no SQL form, so the metric and queue queries with SQL use stand-ins: session length as risk_score, and
+the label as predicted category, `normal` under 10 minutes. x1_x3_explained_alerts and t9_scored_stream run the real
+models.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import alerts, features, forest, metrics, ranking, sequence
+from ..operators import alerts, classifier, features, forest, metrics, sequence
 from ..sources.access_log import split_ground_truth, validate_events
-from ..sources.shared import written
+from ..sources.shared import place, written
+from ..streaming import online
+from . import scoring
 from .event_log import TEST_LOG_SQL, log_of_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,21 +56,59 @@ def queue(log: DataFrame, n: int = 150) -> DataFrame:
     return alerts.alert_queue(stand_in(log).select("event_id", "entity_id", "entity_type", "risk_score", "predicted_category"), log, n)
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(features.build_features(log_of_events(spark, sf_dir)), "features")
+
+
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label-free risk of every event: features, forest, scores."""
-    f = written(features.build_features(log_of_events(spark, sf_dir)), "features")
-    scored, _ = forest.risk_score(f, forest.fit_forest(f, n_trees=100))
+    """Label-free risk of every event: features, forest of 300 trees, scores."""
+    f = feature_table(spark, sf_dir)
+    scored, _ = forest.risk_score(f, forest.fit_forest(f))
     return scored.select("event_id", "entity_id", "label", F.round("risk_score", 4).alias("risk_score"))
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier trained on three quarters of each label and applied to the rest."""
-    from ..operators import classifier
+    """A classifier of 400 trees trained on three quarters of each label and applied to the rest."""
+    train, test = classifier.stratified_split(feature_table(spark, sf_dir))
+    return classifier.predict_category(test, classifier.fit_classifier(train)).select("event_id", "label", "predicted_category")
+
+
+def explained_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The real queue: features, forest, classifier, attributions and reasons of the 150 riskiest events."""
+    models, scored = scoring.train(feature_table(spark, sf_dir))
+    return scoring.alert_queue(scored, log_of_events(spark, sf_dir), models)
+
+
+def arrivals(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(history, later events with arrival): an eleventh of the later events arrive late."""
+    number = F.col("event_id").cast("long")
+    later = log.where("timestamp >= '2024-01-20'").withColumn("arrival", number * 2 + F.when(number % 11 == 0, 601).otherwise(0))
+    return log.where("timestamp < '2024-01-20'"), later
 
-    f = written(features.build_features(log_of_events(spark, sf_dir)), "features")
-    train, test = classifier.stratified_split(f)
-    model = classifier.fit_classifier(train, n_trees=20, depth=8)
-    return classifier.predict_category(test, model).select("event_id", "label", "predicted_category")
+
+def replayed(spark: SparkSession, sf_dir: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """The later events through the stream, in two micro-batches by arrival, after a warm start from the history."""
+    history, later = arrivals(log_of_events(spark, sf_dir))
+    later = written(later, "later")
+    middle = later.agg(F.avg("arrival")).first()[0] or 0
+    folder, warm = place(spark, "stream"), online.warm_start(history)
+    warm = (written(warm[0], "entities"), warm[1])
+    for part in (later.where(F.col("arrival") < middle), later.where(F.col("arrival") >= middle)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        events = spark.readStream.schema(later.schema).parquet(f"{folder}/in")
+        online.start_scoring(events, warm, finish, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(replayed(spark, sf_dir).drop("entity_id", "entity_type", "timestamp", "arrival"), 3)
+
+
+def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models trained on the history; the later events' risk, category and reasons."""
+    history, _ = arrivals(log_of_events(spark, sf_dir))
+    models, _ = scoring.train(written(features.build_features(history), "features"))
+    return replayed(spark, sf_dir, lambda d: scoring.result_rows(d, models))
 
 
 def fast_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +151,10 @@ def queries() -> dict[str, Query]:
         "d7_roc_auc": over_log(lambda d: metrics.roc_auc(stand_in(d))),
         "d8_average_precision": over_log(lambda d: metrics.average_precision(stand_in(d))),
         "c1_c3_categories": categories,
+        "c1_split": over_log(lambda d: classifier.stratified_split(d)[1].select("event_id", "label")),
+        "t1_t8_online_features": online_features,
+        "t9_scored_stream": scored_stream,
+        "x1_x3_explained_alerts": explained_alerts,
         "c4_report": over_log(lambda d: metrics.classification_report(stand_in(d))),
         "a1_a3_alert_queue": over_log(lambda d: queue(d).drop("reasons", "cold_start")),
         "a4_alert_summary": over_log(summary_rows),
@@ -183,6 +228,33 @@ full_f AS (SELECT f.event_id, f.entity_id, f.entity_type, f.label, hour_of_day,
   ip_distinct_entities_recent, cold_start, coalesce(seq_transition_score, 50.0) AS seq_transition_score
   FROM f JOIN sc USING (event_id) CROSS JOIN med)
 """
+#: The online features: state in order of arrival (history first, by time), the population counted up to each event.
+ONLINE = f"""
+WITH access_log AS ({TEST_LOG_SQL}),
+a AS (SELECT *, hour(timestamp) + minute(timestamp) / 60.0 AS h, session_duration_min AS d, cast(coalesce(json_array_length(command_sequence), 0) AS bigint) AS n_commands, timestamp >= TIMESTAMP '2024-01-20' AS later,
+             cast(event_id AS bigint) * 2 + CASE WHEN cast(event_id AS bigint) % 11 = 0 THEN 601 ELSE 0 END AS arrival FROM access_log),
+o AS (SELECT *, row_number() OVER (ORDER BY later, CASE WHEN later THEN arrival ELSE epoch_us(timestamp) END, event_id) AS k FROM a),
+w AS (SELECT *, row_number() OVER e <= 5 AS cold, lag(resource_accessed) OVER e AS prev, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER e)) / 1e6 AS gap, lag(geo_lat) OVER e AS lat0, lag(geo_lon) OVER e AS lon0,
+             avg(h) OVER p AS own_h, stddev_pop(h) OVER p AS own_hs, avg(d) OVER p AS own_d, stddev_pop(d) OVER p AS own_ds, avg(h) OVER t AS pop_h, stddev_pop(h) OVER t AS pop_hs, avg(d) OVER t AS pop_d, stddev_pop(d) OVER t AS pop_ds,
+             row_number() OVER (PARTITION BY entity_id, resource_accessed ORDER BY k) AS k_res, row_number() OVER (PARTITION BY entity_id, device_os, device_mac ORDER BY k) AS k_dev, count(*) OVER t AS total,
+             count(DISTINCT resource_accessed) OVER (PARTITION BY entity_id ORDER BY k ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS kinds20,
+             sum(CASE WHEN auth_success THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fails,
+             count(DISTINCT resource_accessed) OVER (PARTITION BY entity_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kinds,
+             count(*) OVER (PARTITION BY entity_type, resource_accessed ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS res_n
+      FROM o WINDOW e AS (PARTITION BY entity_id ORDER BY k), p AS (PARTITION BY entity_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (PARTITION BY entity_type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, count(*) OVER (PARTITION BY entity_type, prev, resource_accessed ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pop_edge, count(*) OVER (PARTITION BY entity_type, prev ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pop_node,
+             count(*) OVER (PARTITION BY entity_id, prev, resource_accessed ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_edge, count(*) OVER (PARTITION BY entity_id, prev ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own_node,
+             CASE WHEN NOT cold THEN own_h WHEN total > 0 THEN pop_h ELSE h END AS hm, CASE WHEN NOT cold THEN own_hs WHEN total > 0 THEN pop_hs ELSE 1.0 END AS hs, CASE WHEN NOT cold THEN own_d WHEN total > 0 THEN pop_d ELSE d END AS dm, CASE WHEN NOT cold THEN own_ds WHEN total > 0 THEN pop_ds ELSE 1.0 END AS ds,
+             CASE WHEN lat0 IS NULL THEN 0.0 ELSE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(geo_lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(geo_lat)) * pow(sin(radians(geo_lon - lon0) / 2), 2)))) END AS km FROM w),
+s AS (SELECT *, -ln(greatest(CASE WHEN prev IS NULL THEN CASE WHEN total = 0 THEN 1.0 ELSE (res_n + 1) / cast(total + kinds + 1 AS double) END
+                ELSE (own_edge + 2.0 * CASE WHEN pop_node > 0 THEN (pop_edge + 1) / (pop_node + 50.0::double) ELSE 1e-3 END) / (own_node + 2.0) END, 1e-9::double)) + 0.0 AS neg FROM c)
+SELECT event_id, round(least(abs(h - hm), 24 - abs(h - hm)) / greatest(hs, 1e-6), 3) AS hour_zscore, round(abs(d - dm) / greatest(ds, 1e-6), 3) AS dur_zscore, cast(k_res = 1 AND NOT cold AS bigint) AS is_new_resource,
+       cast(kinds20 AS bigint) AS distinct_resources_recent20, round(km, 3) AS geo_distance_km, round(CASE WHEN gap IS NULL THEN 0.0 ELSE km / greatest(abs(gap) / 3600, 1e-2) END, 3) AS geo_velocity_kmh,
+       cast(k_dev = 1 AND NOT cold AS bigint) AS fingerprint_mismatch, cast(auth_success AS bigint) AS auth_success, n_commands, round(d, 3) AS session_duration_min, round(coalesce(abs(gap), 3600.0), 3) AS time_since_last_s,
+       cast(fails AS bigint) AS rolling_fail_5, cast(1 AS bigint) AS ip_distinct_entities_recent, cast(cold AS bigint) AS cold_start, coalesce(gap < 0, false) AS out_of_order, round(neg, 3) AS seq_neg_log_prob, round(100 / (1 + exp(-(neg - 5))), 3) AS seq_transition_score
+FROM s WHERE later
+"""
+
 DOUBLES = ("hour_of_day", "hour_zscore", "dur_zscore", "geo_distance_km", "geo_velocity_kmh", "session_duration_min", "time_since_last_s", "seq_transition_score")
 FULL_SELECT = "SELECT event_id, entity_id, entity_type, label, " + ", ".join(f"round({c}, 3) AS {c}" if c in DOUBLES else c for c in ("hour_of_day", *scalars.FEATURES)) + " FROM full_f"
 TOP = ", t AS (SELECT * FROM b ORDER BY risk_score DESC, event_id LIMIT 150)"
@@ -230,6 +302,8 @@ def oracle_sql() -> dict[str, str]:
         "d6_detection": f"{BASE} {threshold}, c AS ({counted}) SELECT 95 AS threshold_percentile, round(threshold_value, 6) AS threshold_value, round(tp / cast(tp + fp AS double), 6) AS precision_at_threshold, round(tp / cast(tp + fn AS double), 6) AS recall_at_threshold, tn, fp, fn, tp, tp + fp AS n_flagged, tp + fn AS n_true_anomalies, tp + fp + fn + tn AS n_total FROM c",
         "d7_roc_auc": f"{BASE}, r AS (SELECT pos, rank() OVER (ORDER BY risk_score) + (count(*) OVER (PARTITION BY risk_score) - 1) / 2.0 AS rk FROM b) SELECT round((sum(rk) FILTER (pos = 1) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * cast(count(*) - sum(pos) AS double)), 6) AS roc_auc FROM r",
         "d8_average_precision": f"{BASE}, g AS (SELECT risk_score, count(*) AS n, sum(pos) AS p FROM b GROUP BY risk_score), s AS (SELECT *, sum(n) OVER o AS cn, sum(p) OVER o AS cp FROM g WINDOW o AS (ORDER BY risk_score DESC)) SELECT round(sum(cp / cast(cn AS double) * p) / sum(p), 6) AS average_precision FROM s",
+        "c1_split": f"{BASE}, h AS (SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY substr(md5(event_id || ':42'), 1, 13)) AS k, count(*) OVER (PARTITION BY label) AS n FROM b) SELECT event_id, label FROM h WHERE k > floor(n * 0.75)",
+        "t1_t8_online_features": ONLINE,
         "c4_report": f"{BASE} {report}",
         "a1_a3_alert_queue": f"{BASE} {TOP} SELECT event_id, entity_id, entity_type, timestamp, round(risk_score, 1) AS risk_score, predicted_category, label AS ground_truth_label, source_ip, geo_location, resource_accessed, auth_method, device_os FROM t",
         "a4_alert_summary": f"{BASE} {TOP} SELECT (SELECT count(*) FROM b) AS total_events_scored, (SELECT count(*) FROM t) AS alerts_shown, (SELECT sum(pos)::bigint FROM t) AS true_anomalies_in_queue, round((SELECT sum(pos) / cast(count(*) AS double) FROM t), 3) AS precision_in_queue, predicted_category AS category, count(*) AS n FROM t GROUP BY predicted_category",
