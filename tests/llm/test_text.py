@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,16 @@ def test_codes_leave_out_no_near_pair():
         assert not (vectors.near(u, u, t) & ~vectors.maybe_near(vectors.coded(u), vectors.coded(u), t)).any()
 
 
+def test_lm_batches_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(lm_score, "DOCS", 5)
+    monkeypatch.setattr(lm_score, "CHARACTERS", 30)
+    texts = [None, "", *("x" * (7 * k % 13) for k in range(40)), "y" * 90, "z"]
+    parts = [pd.DataFrame({"text": texts[k : k + 9]}) for k in range(0, len(texts), 9)]
+    got = [list(b["text"]) for b in lm_score.joined(iter(parts))]
+    assert [t for b in got for t in b] == texts and max(map(len, got)) <= 5
+    assert all(sum(len(t or "") for t in b) <= 30 or len(b) == 1 for b in got)
+
+
 def test_lm_scores_equal_brute_force_over_exact_ngrams(spark, docs_of):
     rng = random.Random(12)
     wide = "".join(map(chr, range(0x20000, 0x20000 + 70_000)))  # more characters than fit 16 bits

@@ -19,6 +19,8 @@ once; a text of any length is scored whole; an empty table gives no rows; other
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -36,6 +38,8 @@ PRIOR = 4.0
 FLOOR = 0.1
 #: The n-gram of no tokens, counted once a token.
 SLOTS = b""
+#: Documents and characters of a batch.
+DOCS, CHARACTERS = 3000, 8_000_000
 #: The largest count of an entry.
 MOST = 255
 
@@ -95,11 +99,28 @@ def batch_grams(texts: list[str], target: np.ndarray) -> tuple[list[bytes], np.n
     return [grams[k : k + 4 * ORDER] for k in range(0, len(grams), 4 * ORDER)], good, total, [who[2 * a : 2 * b] for a, b in spans], [often[a:b] for a, b in spans]
 
 
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow batches put together to batches of at most DOCS documents and, but for a longer text, CHARACTERS: the more
+    documents a batch has, the fewer rows there are for each 4-gram."""
+    held, n = [], 0
+    for pdf in batches:
+        lengths = pdf["text"].str.len().fillna(0).to_numpy(np.int64)
+        start = 0
+        for k in range(len(pdf)):
+            if n and (n + lengths[k] > CHARACTERS or sum(map(len, held)) + k - start >= DOCS):
+                yield pd.concat([*held, pdf.iloc[start:k]], ignore_index=True)
+                held, n, start = [], 0, k
+            n += int(lengths[k]) + 1
+        held.append(pdf.iloc[start:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def grams_of(docs: DataFrame) -> DataFrame:
     """ROWS of (doc_id, text, target): per batch one row without gram, with the batch's ids, and one for each 4-gram."""
 
     def run(batches):
-        for k, pdf in enumerate(batches):
+        for k, pdf in enumerate(joined(batches)):
             name = f"{TaskContext.get().partitionId()}-{k}"
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"].astype("Int64")]
             head = pd.DataFrame({"batch": [name], "gram": [None], "good": [0], "total": [0], "who": [None], "times": [None], "ids": [ids]})
