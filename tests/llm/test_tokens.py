@@ -146,7 +146,7 @@ def test_matrices_give_documents_back(spark, docs_of, tmp_path):
     assert ids.shape == positions.shape == (len(got), 32) and matrices.packed_matrices(docs_of(rows).limit(0), BPE).count() == 0
     parts = {}
     for r in got:
-        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<i4")
+        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u2")
         assert len(ids) == len(positions) == 32 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
         for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             parts[doc, piece] = ids[a:b].tolist()

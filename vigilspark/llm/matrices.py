@@ -73,7 +73,10 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, buffer: int = BUFFER) -> DataFrame:
     """One row per sequence: ids (capacity little-endian uint32, padded with end_id), cumulative segment lengths
-    from 0, positions that restart with each segment (int32, 0 in the padding), and each segment's document and piece."""
+    from 0, positions that restart with each segment (uint16, 0 in the padding), and each segment's document and piece."""
+
+    if capacity > 1 << 16:
+        raise ValueError("positions are written as 16-bit numbers")
 
     def run(batches):
         first, made = TaskContext.get().partitionId() << 40, 0
@@ -87,7 +90,7 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
                 parts = [held[i] for i in b]
                 sizes = [len(x[2]) // 4 for x in parts]
                 used = sum(sizes)
-                positions = np.zeros(capacity, "<i4")
+                positions = np.zeros(capacity, "<u2")
                 positions[:used] = np.concatenate([np.arange(n) for n in sizes])
                 cu = [0, *np.cumsum(sizes).tolist()]
                 rows.append((first + made, b"".join(x[2] for x in parts) + end * (capacity - used), cu, positions.tobytes(), [x[0] for x in parts], [x[1] for x in parts], used))
@@ -113,7 +116,8 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
 
 def write_matrices(docs: DataFrame, path: str, out: str, **options) -> None:
     """Write the matrices as Parquet (zstd: the positions, which start anew with each segment, shrink to almost nothing)."""
-    packed_matrices(docs, path, **options).write.mode("overwrite").option("compression", "zstd").parquet(out)
+    writer = packed_matrices(docs, path, **options).write.mode("overwrite").option("compression", "zstd")
+    writer.option("parquet.compression.codec.zstd.level", "1").option("parquet.enable.dictionary", "false").parquet(out)
 
 
 def read_matrices(spark: SparkSession, out: str) -> DataFrame:
@@ -123,4 +127,4 @@ def read_matrices(spark: SparkSession, out: str) -> DataFrame:
 
 def as_matrix(pdf: pd.DataFrame, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """The ids and the positions of some rows, each as a matrix."""
-    return tuple(np.frombuffer(b"".join(pdf[c]), t).reshape(-1, capacity) for c, t in (("ids", "<u4"), ("position_ids", "<i4")))
+    return tuple(np.frombuffer(b"".join(pdf[c]), t).reshape(-1, capacity) for c, t in (("ids", "<u4"), ("position_ids", "<u2")))
