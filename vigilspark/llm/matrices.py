@@ -10,6 +10,8 @@ length are placed in the order read; an empty table gives no sequences; other co
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -81,7 +83,7 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
     def run(batches):
         first, made = TaskContext.get().partitionId() << 40, 0
         bpe, end = byte_bpe(path), np.array([end_id], "<u4").tobytes()
-        held, tokens = [], 0
+        held, tokens, ramp = [], 0, np.arange(capacity, dtype="<u2").tobytes()
 
         def packed():
             nonlocal made
@@ -90,10 +92,9 @@ def packed_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
                 parts = [held[i] for i in b]
                 sizes = [len(x[2]) // 4 for x in parts]
                 used = sum(sizes)
-                positions = np.zeros(capacity, "<u2")
-                positions[:used] = np.concatenate([np.arange(n) for n in sizes])
-                cu = [0, *np.cumsum(sizes).tolist()]
-                rows.append((first + made, b"".join(x[2] for x in parts) + end * (capacity - used), cu, positions.tobytes(), [x[0] for x in parts], [x[1] for x in parts], used))
+                positions = b"".join([ramp[: 2 * n] for n in sizes]) + bytes(2 * (capacity - used))
+                cu = [0, *accumulate(sizes)]
+                rows.append((first + made, b"".join(x[2] for x in parts) + end * (capacity - used), cu, positions, [x[0] for x in parts], [x[1] for x in parts], used))
                 made += 1
             return pd.DataFrame(rows, columns=["sequence_id", "ids", "cu_seqlens", "position_ids", "doc_ids", "pieces", "n_tokens"])
 
