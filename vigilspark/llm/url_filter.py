@@ -2,7 +2,7 @@
 
 Everything is DataFrame functions: a url's features are the different hashed n-grams of host and path (kept apart), a
 weight vector of fixed length and an intercept are fitted by a fixed number of full-batch steps over a small labelled
-table, each one join and one aggregate; a url's score is the sum of its slots' weights, which go along as one literal.
+table, each one aggregate; a url's score is the sum of its slots' weights, which go along as one literal.
 
 Defined cases: null urls and urls without `://` have empty host and path, fit no rule and are judged by the intercept
 and no n-grams; a labelled table without rows, or with one verdict only, gives weights of 0 and an intercept for that
@@ -61,35 +61,46 @@ def slots(host: Column, path: Column, n_slots: int = SLOTS) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
+def margin(s: Column, weights: list[float], intercept: float) -> Column:
+    """The log odds of block of the slots s; the weights go along as one literal."""
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    return F.aggregate(s, F.lit(0.0), lambda a, k: a + F.element_at(table, k + 1)) / root(s) + intercept
+
+
+def root(s: Column) -> Column:
+    return F.sqrt(F.greatest(F.size(s), F.lit(1)))
+
+
 def fit(labelled: DataFrame, steps: int = STEPS) -> tuple[list[float], float]:
     """The weights of all slots (0 for those not met) and the intercept of P(block), from (url, blocked 0/1).
 
-    Every step is one join and one aggregate: a gradient step from an extrapolated point (Nesterov's), scaled for each
-    slot by a bound of the curvature there, so it cannot overshoot. The intercept is slot -1 and is fitted along. What
-    comes to the driver are SLOTS + 1 numbers at most."""
+    Every step is one aggregate over the labelled urls, of which SLOTS + 1 numbers at most come to the driver: a gradient
+    step from an extrapolated point (Nesterov's), scaled for each slot by a bound of the curvature there, so it cannot
+    overshoot. The intercept is slot -1 and is fitted along."""
     host, path = split_url(F.col("url"))
-    rows = labelled.where("blocked is not null").select(F.monotonically_increasing_id().alias("id"), F.col("blocked").cast("double").alias("y"), slots(host, path).alias("s"))
+    rows = labelled.where("blocked is not null").select(F.col("blocked").cast("double").alias("y"), slots(host, path).alias("s"))
     rows = stash(rows, "labelled-urls")
     n, blocked = rows.agg(F.count("*"), F.sum("y")).first()
     start = log((blocked + 0.5) / (n - blocked + 0.5)) if n else -1.0
     if not n or blocked in (0, n):
         return [0.0] * SLOTS, start
-    root = F.sqrt(F.greatest(F.size("s"), F.lit(1)))
-    x = rows.select("id", "y", root.alias("root"), F.explode(F.concat("s", F.array(F.lit(-1)))).alias("slot"))
-    x = stash(x.withColumn("v", F.when(F.col("slot") < 0, 1.0).otherwise(1 / F.col("root"))), "url-features")
-    first = F.when(F.col("slot") < 0, start).otherwise(0.0)
-    weights = x.groupBy("slot").agg(F.sum(F.col("v") * (F.col("root") + 1) / 4).alias("bound")).select("slot", "bound", first.alias("weight"), first.alias("last"))
+
+    def sums(value: Column) -> dict[int, float]:
+        """The sum of value times the slot's own part, by slot."""
+        x = rows.select(value.alias("e"), root(F.col("s")).alias("r"), F.explode(F.concat("s", F.array(F.lit(-1)))).alias("slot"))
+        part = F.when(F.col("slot") < 0, 1.0).otherwise(1 / F.col("r"))
+        return dict(map(tuple, x.groupBy("slot").agg(F.sum(F.col("e") * part)).collect()))
+
+    bound = sums((root(F.col("s")) + 1) / 4)
+    now = dict.fromkeys(bound, 0.0) | {-1: start}
+    last = now
     for k in range(steps):
-        ahead = F.col("weight") + k / (k + 3) * (F.col("weight") - F.col("last"))
-        weights = weights.withColumn("ahead", ahead)
-        margin = x.join(F.broadcast(weights), "slot").groupBy("id", "y").agg(F.sum(F.col("v") * F.col("ahead")).alias("z"))
-        error = margin.select("id", (F.col("y") - 1 / (1 + F.exp(-F.col("z")))).alias("e"))
-        gradient = x.join(error, "id").groupBy("slot").agg(F.sum(F.col("e") * F.col("v")).alias("g"))
-        decay = F.when(F.col("slot") < 0, 0.0).otherwise(DECAY)
-        step = F.col("ahead") + (F.col("g") - decay * F.col("ahead")) / (F.col("bound") + decay)
-        weights = stash(weights.join(gradient, "slot").select("slot", "bound", step.alias("weight"), F.col("weight").alias("last")), "url-weights")
-    found = {r["slot"]: r["weight"] for r in weights.collect()}
-    return [found.get(k, 0.0) for k in range(SLOTS)], found[-1]
+        ahead = {j: w + k / (k + 3) * (w - last[j]) for j, w in now.items()}
+        z = margin(F.col("s"), [ahead.get(j, 0.0) for j in range(SLOTS)], ahead[-1])
+        gradient = sums(F.col("y") - 1 / (1 + F.exp(-z)))
+        decay = dict.fromkeys(ahead, DECAY) | {-1: 0.0}
+        now, last = {j: w + (gradient[j] - decay[j] * w) / (bound[j] + decay[j]) for j, w in ahead.items()}, now
+    return [now.get(j, 0.0) for j in range(SLOTS)], now[-1]
 
 
 def decided(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
@@ -115,9 +126,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: dict[str,
             share = min(1.0, LABELLED / max(1, every.count()))
             labelled = every.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
         weights, intercept = fit(labelled)
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # one literal once folded
     out = out.withColumn("s", slots(F.col("host"), F.col("path")))
-    z = F.aggregate("s", F.lit(0.0), lambda a, k: a + F.element_at(table, k + 1)) / F.sqrt(F.greatest(F.size("s"), F.lit(1)))
-    p = 1 / (1 + F.exp(-(z + intercept)))
+    p = 1 / (1 + F.exp(-margin(F.col("s"), weights, intercept)))
     verdict = F.coalesce(by_rule, F.when(p >= 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), p.alias("p_block"))
