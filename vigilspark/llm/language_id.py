@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, stash
+from .common import in_small_batches, lean, stash
 from .near_dedup import mixed
 
 ORDERS = (2, 3, 4)
@@ -135,7 +135,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rate: float = RATE, contrast: f
                     gram, times = np.unique(np.concatenate(arrays), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "n": n, "gram": gram.view(np.int64), "times": times})
 
-    counted = chosen.select("text", "lang").mapInPandas(count, "lang string, n int, gram long, times long")
+    counted = chosen.select("text", "lang").mapInPandas(lean(count), "lang string, n int, gram long, times long")
     counted = stash(counted.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "grams")
     totals = counted.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     shares = counted.join(F.broadcast(totals), ["lang", "n"]).select("lang", "n", "gram", (F.col("times") / F.col("total")).alias("share")).where(F.col("share") >= rate)

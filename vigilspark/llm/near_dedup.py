@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, in_small_batches, scratch, small, stash
+from .common import components, hot_join, in_small_batches, lean, scratch, small, stash
 
 PERMUTATIONS = 256
 #: Signature values compared between two looks at the posterior.
@@ -116,7 +116,7 @@ def signed(docs: DataFrame, words: int, threshold: float, named: bool = False) -
 
     own = [F.sha2("text", 256).alias("_sha")] if named else []
     texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *own)
-    return texts.mapInPandas(run, SIGNED + ", sha string" * named)
+    return texts.mapInPandas(lean(run), SIGNED + ", sha string" * named)
 
 
 @lru_cache(maxsize=8)
@@ -168,7 +168,7 @@ def full_sets(fps: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
             out = [(fingerprint(s), s.tobytes()) for s in (shingles(t, words) for t in pdf["_text"])]
             yield pd.DataFrame(out, columns=["fp", "s"]).dropna()
 
-    return stash(texts.mapInPandas(sets, "fp binary, s binary").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    return stash(texts.mapInPandas(lean(sets), "fp binary, s binary").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -186,7 +186,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, t
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     side = lambda k, s: full.select(F.col("fp").alias(k), F.col("s").alias(s))
-    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(lean(run), "a binary, b binary")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, stash
+from .common import in_small_batches, lean, stash
 from .tokens import byte_bpe
 
 CAPACITY = 2048
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                     at, n = stop, n + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"]).astype({"doc_id": "Int64"})
 
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).mapInPandas(run, PIECES)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).mapInPandas(lean(run), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +26,22 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def slices(texts: list[str], most: int = 500, characters: int = 1_000_000) -> Iterator[list[str]]:
+    """texts in runs of at most so many and, but for a longer text, so many characters: words cost many times their text."""
+    start = n = 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start >= most or n + len(t) > characters):
+            yield texts[start:k]
+            start, n = k, 0
+        n += len(t)
+    if start < len(texts):
+        yield texts[start:]
+
+
 class ByteBpe:
     """Encodes texts chunk by chunk; chunks met before come from a dictionary of a bounded number of entries."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 150_000):
         spec = json.load(open(path, encoding="utf-8"))
         chars, vocab = byte_of_char(), spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -69,15 +82,17 @@ class ByteBpe:
         """Ids of every whole text as little-endian uint32 bytes, as the tokenizers library gives them by default: a string
         of a special token is that token."""
         out: list[bytes] = []
-        for k in range(0, len(texts), 500):
-            cut = [t.split(" ") for t in texts[k : k + 500]]
+        for part in slices(texts):
+            cut = [t.split(" ") for t in part]
             heads = [c.pop(0) for c in cut]
-            new = set().union(*cut)
+            chunks = set().union(*cut)
+            new = chunks.difference(self.known)
             if len(self.known) + len(new) > self.entries:
                 self.known.clear()
-            self.learn(new.difference(self.known))
+                new = chunks
+            self.learn(new)
             find = self.known.__getitem__
-            for text, head, rest in zip(texts[k : k + 500], heads, cut, strict=True):
+            for text, head, rest in zip(part, heads, cut, strict=True):
                 if any(w in text for w in self.special):
                     out.append(self.apart(text))
                     continue
