@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                     rows.append((key, k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop]), part + n))
                     at, n = stop, n + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"]).astype({"doc_id": "Int64"})
+        bpe.forget()
 
     return in_small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).mapInPandas(lean(run), PIECES)
 

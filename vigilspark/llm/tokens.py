@@ -70,6 +70,10 @@ class ByteBpe:
         for c in chunks.difference(plain):  # None: no pre-token may end here, so that the text needs the careful cut
             self.known[c] = None if not c or c[0].isspace() or c[-1].isspace() else self.ids(" " + c)
 
+    def forget(self) -> None:
+        """Empty the dictionary, at the end of a task: an idle worker holds the vocabulary alone."""
+        self.known.clear()
+
     def careful(self, text: str) -> bytes:
         head, *rest = CUT.split(text)
         return self.ids(head) + b"".join([self.ids(" " + c) for c in rest])
