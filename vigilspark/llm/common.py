@@ -85,6 +85,30 @@ def tidy() -> None:
         trim(0)
 
 
+class Cache(dict):
+    """A dictionary that is emptied once its entries hold more than so many bytes; entries over a thousandth of that are not
+    kept at all. Sizes are given, and OVERHEAD is added for each entry."""
+
+    OVERHEAD = 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int) -> None:
+        size += self.OVERHEAD
+        if size > self.most // 1000:
+            return
+        if self.held + size > self.most:
+            self.clear()
+        self[key] = value
+        self.held += size
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """run, for mapInPandas, with freed memory handed back before and after each task."""
 
