@@ -36,7 +36,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, in_small_batches, lean
+from .common import Cache, in_small_batches, with_long_ids
 from .tokens import CUT
 
 #: The pattern's classes and the pattern, with a place for letters and digits.
@@ -245,11 +245,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["_id"], "ids": [model.encode(t) for t in pdf["_text"]]})
 
-    return texts(docs).mapInPandas(lean(run), "doc_id long, ids binary")
+    return with_long_ids(texts(docs), run, "ids binary")
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    return in_small_batches(docs).select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -263,6 +263,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 raw = model.encode(text)
                 back = model.decoded(np.frombuffer(raw, "<u4").tolist())
                 rows.append((key, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInPandas(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_long_ids(texts(docs), run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

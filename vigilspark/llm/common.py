@@ -121,6 +121,12 @@ def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Cal
     return task
 
 
+def with_long_ids(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """rows through run, with doc_id first: as text while in pandas, which would make floats of longs beside a null."""
+    out = rows.mapInPandas(lean(run), f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, exact_dedup, language_id, lm_score, matrices, merkle, near_dedup, packing, pieces, secrets, url_filter, vectors
+from . import bpe_tree, exact_dedup, language_id, lm_score, matrices, merkle, near_dedup, packing, periods, pieces, secrets, url_filter, vectors
 from .common import shared_dir
 
 
@@ -76,11 +76,15 @@ def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_language_id, op4_secret_scans, op5_exact_dedup,
         op6_sentencepiece, op7_url_filters, op8_token_matrices, op9_lm_scoring, op10_vector_near_dedup,
-        op11_merkle_manifest, op12_bpe_tree,
+        op11_merkle_manifest, op12_bpe_tree, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
