@@ -4,10 +4,11 @@ A text is cut where no piece of the vocabulary has the two characters side by si
 part is then encoded by Aho-Corasick matches: take the longest piece that starts here, keep it if it is compatible with
 the piece before it, else try the next shorter one, else step back; a bit field of positions marks those from which
 no encoding was found. Two adjacent pieces are compatible if merging their concatenation anew gives the two again;
-answers are remembered. Parts met before come from a bounded dictionary in each Python worker.
+answers are remembered. Words and parts met before come from caches bounded in bytes, in each Python worker.
 
-Defined cases: null text is empty and has no ids; characters outside the vocabulary become byte pieces; repeated rows
-are encoded each; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is empty and has no ids; characters outside the vocabulary become byte pieces; a long text is
+encoded whole, and its long words are not cached; repeated rows are encoded each; a null doc_id stays null; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import Cache, in_small_batches, with_long_ids
 
 MARK = "▁"
 #: A space after another character starts a part.
@@ -33,7 +34,7 @@ CUT = re.compile(r"(?<=[^ ])(?= )")
 
 
 class Pieces:
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, most: int = 160 << 20):
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         special = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)
         self.id = {m.id_to_piece(i): i for i in range(m.vocab_size()) if not special(i)}
@@ -46,10 +47,7 @@ class Pieces:
         for p in self.id:
             self.find.add_word(p, len(p))
         self.find.make_automaton()
-        self.entries = entries
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.words, self.parts, self.fits = Cache(most // 2), Cache(most // 4), Cache(most // 4)
 
     def merged(self, text: str) -> list[str]:
         """Merge the best adjacent pair again and again, the leftmost of equals."""
@@ -79,9 +77,8 @@ class Pieces:
             return True
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) >= self.entries:
-                self.fits.clear()
-            self.fits[a, b] = found = self.merged(a + b) == [a, b]
+            found = self.merged(a + b) == [a, b]
+            self.fits.keep((a, b), found, 0)  # two pieces of the vocabulary
         return found
 
     def backtrack(self, text: str) -> list[str]:
@@ -122,13 +119,11 @@ class Pieces:
         """Ids of a part: of one unknown character its bytes, else by backtracking."""
         found = self.parts.get(text)
         if found is None:
-            if len(self.parts) >= self.entries:
-                self.parts.clear()
             if len(text) == 1 and text not in self.id:
                 found = [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
             else:
                 found = [self.id[p] for p in self.backtrack(text)]
-            self.parts[text] = found
+            self.parts.keep(text, found, 4 * len(text) + 8 * len(found))
         return found
 
     def word(self, key: str) -> tuple[str, bytes]:
@@ -140,9 +135,8 @@ class Pieces:
                 ids += self.part(text[start:k])
                 start = k
         ids += self.part(text[start:])
-        if len(self.words) >= self.entries:
-            self.words.clear()
-        self.words[key] = found = (",".join(map(str, ids)), array("i", ids).tobytes())
+        found = (",".join(map(str, ids)), array("i", ids).tobytes())
+        self.words.keep(key, found, 4 * len(key) + 11 * len(ids))
         return found
 
     def encode(self, text: str) -> tuple[str, list[int]]:
@@ -179,10 +173,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             for key, text in zip(pdf["_id"], pdf["_text"], strict=True):
                 decimal, ids = sp.encode(text)
                 rows.append((key, len(ids), digest(decimal), digest(sp.decode(ids))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, schema)
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    return with_long_ids(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, with a bounded cache of chunks per Python worker."""
+"""Byte-level BPE ids of whole texts, with a cache of chunks per Python worker, bounded in bytes."""
 
 from __future__ import annotations
 
@@ -39,9 +39,12 @@ def slices(texts: list[str], most: int = 500, characters: int = 1_000_000) -> It
 
 
 class ByteBpe:
-    """Encodes texts chunk by chunk; chunks met before come from a dictionary of a bounded number of entries."""
+    """Encodes texts chunk by chunk; chunks met before come from a dictionary bounded in bytes (most, and what one slice of
+    texts adds), in which no chunk of over LONG characters stays."""
 
-    def __init__(self, path: str, entries: int = 150_000):
+    LONG, OVERHEAD = 200, 200
+
+    def __init__(self, path: str, most: int = 40 << 20):
         spec = json.load(open(path, encoding="utf-8"))
         chars, vocab = byte_of_char(), spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -53,7 +56,7 @@ class ByteBpe:
         self.newline = ranks[b"\n"]
         self.special = {w: np.array([i], "<u4").tobytes() for w, i in special.items()}
         self.mark = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.entries, self.known = entries, {}
+        self.most, self.held, self.known = most, 0, {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
@@ -73,6 +76,7 @@ class ByteBpe:
     def forget(self) -> None:
         """Empty the dictionary, at the end of a task: an idle worker holds the vocabulary alone."""
         self.known.clear()
+        self.held = 0
 
     def careful(self, text: str) -> bytes:
         head, *rest = CUT.split(text)
@@ -91,10 +95,11 @@ class ByteBpe:
             heads = [c.pop(0) for c in cut]
             chunks = set().union(*cut)
             new = chunks.difference(self.known)
-            if len(self.known) + len(new) > self.entries:
-                self.known.clear()
+            if self.held > self.most:
+                self.forget()
                 new = chunks
             self.learn(new)
+            self.held += sum([self.OVERHEAD + 2 * len(c) + len(self.known[c] or b"") for c in new if len(c) <= self.LONG])
             find = self.known.__getitem__
             for text, head, rest in zip(part, heads, cut, strict=True):
                 if any(w in text for w in self.special):
@@ -103,6 +108,9 @@ class ByteBpe:
                 parts = [*map(find, rest)]
                 odd = None in parts or rest and (not head or head[-1].isspace())
                 out.append(self.careful(text) if odd else self.ids(head) + b"".join(parts))
+            for c in new:
+                if len(c) > self.LONG:
+                    del self.known[c]
         return out
 
 
