@@ -1,7 +1,8 @@
 """Behavioural features: how far an event is from its own entity's past.
 
 All entity windows share one shuffle by entity_id, the address window takes one by source_ip, and columns are carried
-along instead of joined back. Every feature but rolling_fail_5 and ip_distinct_entities_recent leaves the event out.
+along instead of joined back; entities and addresses with very many rows go in pieces (segments). Every feature but
+rolling_fail_5 and ip_distinct_entities_recent leaves the event out.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FEATURES, MIN_STD, haversine_km, hour_of_day, n_commands, zscore
 from ..sources.shared import written
+from . import segments
 from .ranking import exact_quantile
 from .sequence import transition_scores
 
@@ -34,24 +36,63 @@ def population_priors(df: DataFrame) -> DataFrame:
     )
 
 
-def entity_windows(df: DataFrame, priors: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
-    """All features that look at the entity's own past, and rolling_fail_5."""
-    first = F.first("entity_type").over(by_entity())  # an entity's prior is that of its first row's type
-    df = with_basics(df).withColumn("_type", first).join(F.broadcast(priors.withColumnRenamed("entity_type", "_type")), "_type", "left").drop("_type")
+def own_past(df: DataFrame) -> DataFrame:
+    """What windows over whole entities say of each event: its number, the moments before it, what is new, the steps back."""
     prior = by_entity().rowsBetween(Window.unboundedPreceding, -1)
-    cold = F.row_number().over(by_entity()) <= min_history
     seen = lambda *c: F.row_number().over(by_entity(*c)) > 1
-    gap_us = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(by_entity()))
-    first = F.lag("event_id").over(by_entity()).isNull()
-    km = F.when(first, 0.0).otherwise(haversine_km(F.lag("geo_lat").over(by_entity()), F.lag("geo_lon").over(by_entity()), F.col("geo_lat"), F.col("geo_lon")))
-    df = df.withColumns({
-        "_cold": cold, "own_hour_mean": F.avg("hour_of_day").over(prior), "own_hour_std": F.stddev_pop("hour_of_day").over(prior),
+    return with_steps(df, by_entity()).withColumns({
+        "_type": F.first("entity_type").over(by_entity()), "_number": F.row_number().over(by_entity()),
+        "own_hour_mean": F.avg("hour_of_day").over(prior), "own_hour_std": F.stddev_pop("hour_of_day").over(prior),
         "own_dur_mean": F.avg("session_duration_min").over(prior), "own_dur_std": F.stddev_pop("session_duration_min").over(prior),
-        "_new": ~seen("resource_accessed"), "_newdev": ~seen("device_os", "device_mac"), "_gap": gap_us, "geo_distance_km": km,
-        "distinct_resources_recent20": F.size(F.collect_set("resource_accessed").over(by_entity().rowsBetween(-20, -1))).cast("long"),
-        "rolling_fail_5": F.sum((~F.col("auth_success")).cast("long")).over(by_entity().rowsBetween(-4, 0)),
-        "prev_resource": F.lag("resource_accessed").over(by_entity()),
+        "_new": ~seen("resource_accessed"), "_newdev": ~seen("device_os", "device_mac"),
+    })
+
+
+def with_steps(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """The features that need a few rows before the event only."""
+    first = F.lag("event_id").over(w).isNull()
+    km = F.when(first, 0.0).otherwise(haversine_km(F.lag("geo_lat").over(w), F.lag("geo_lon").over(w), F.col("geo_lat"), F.col("geo_lon")))
+    return df.withColumns({
+        "_gap": F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(w)), "geo_distance_km": km,
+        "distinct_resources_recent20": F.size(F.collect_set("resource_accessed").over(w.rowsBetween(-20, -1))).cast("long"),
+        "rolling_fail_5": F.sum((~F.col("auth_success")).cast("long")).over(w.rowsBetween(-4, 0)), "prev_resource": F.lag("resource_accessed").over(w),
     })
+
+
+def own_past_in_pieces(df: DataFrame) -> DataFrame:
+    """The same for hot entities: windows over pieces with a halo of 20 rows, moments and numbers carried from piece to
+    piece, what is new by minima over the entity."""
+    cut = segments.pieces(df, "entity_id")
+    types = segments.few(cut.groupBy("entity_id").agg(F.min_by("entity_type", F.struct(*segments.ORDER)).alias("_type")))
+    past = segments.few(segments.moments(cut, "entity_id", {"h": "hour_of_day", "d": "session_duration_min"}))
+    flag = lambda new, dev: [F.lit(new).alias("_new"), F.lit(dev).alias("_newdev")]
+    new = segments.firsts(cut, "entity_id", "resource_accessed").select("event_id", *flag(True, False))
+    new = new.unionByName(segments.firsts(cut, "entity_id", "device_os", "device_mac").select("event_id", *flag(False, True)))
+    new = new.groupBy("event_id").agg(F.max("_new").alias("_new"), F.max("_newdev").alias("_newdev"))
+    w = segments.in_piece("entity_id")
+    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda c: F.when(~F.col("_halo"), c)
+    before = {"_in": F.count(own(F.lit(1))).over(prior)}
+    for name, c in (("h", "hour_of_day"), ("d", "session_duration_min")):
+        v = own(F.col(c))
+        before |= {f"_in{name}": F.count(v).over(prior), f"_im{name}": F.avg(v).over(prior), f"_iq{name}": F.var_pop(v).over(prior) * F.count(v).over(prior)}
+    out = with_steps(segments.with_halo(cut, "entity_id", 20), w).withColumns(before).where("not _halo").drop("_halo")
+    out = out.join(past, ["entity_id", "_seg"], "left").join(types, "entity_id").join(new, "event_id", "left")
+    out = out.withColumns({"_number": F.coalesce("_rows", F.lit(0)) + F.col("_in") + 1, "_new": F.coalesce("_new", F.lit(False)), "_newdev": F.coalesce("_newdev", F.lit(False))})
+    for name, kind in (("h", "hour"), ("d", "dur")):
+        mean, std = segments.merged_moments(name, F.col(f"_in{name}"), F.col(f"_im{name}"), F.col(f"_iq{name}"))
+        out = out.withColumns({f"own_{kind}_mean": mean, f"own_{kind}_std": std})
+    return out.select(*own_past(df).columns)
+
+
+def entity_windows(df: DataFrame, priors: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
+    """All features that look at the entity's own past, and rolling_fail_5. event_id is a key of df."""
+    ordinary, hot = segments.split(with_basics(df), "entity_id")
+    df = own_past(ordinary)
+    if hot is not None:
+        df = df.unionByName(own_past_in_pieces(hot))
+    df = df.join(F.broadcast(priors.withColumnRenamed("entity_type", "_type")), "_type", "left").drop("_type")  # an entity's prior is that of its first row's type
+    df = df.withColumn("_cold", F.col("_number") <= min_history)
     pick = lambda c: F.when(F.col("_cold"), F.col(c)).otherwise(F.col(f"own_{c}"))
     return df.withColumns({
         "hour_zscore": zscore(F.col("hour_of_day"), pick("hour_mean"), pick("hour_std"), circular=True),
@@ -59,16 +100,22 @@ def entity_windows(df: DataFrame, priors: DataFrame, min_history: int = MIN_HIST
         "is_new_resource": (F.col("_new") & ~F.col("_cold")).cast("long"), "fingerprint_mismatch": (F.col("_newdev") & ~F.col("_cold")).cast("long"),
         "cold_start": F.col("_cold").cast("long"), "time_since_last_s": F.col("_gap") / 1e6,
         "geo_velocity_kmh": F.when(F.col("_gap").isNull(), 0.0).otherwise(F.col("geo_distance_km") / F.greatest(F.col("_gap") / 3.6e9, F.lit(1e-4))),
-    }).drop("_cold", "_new", "_newdev", "_gap", "hour_mean", "hour_std", "dur_mean", "dur_std")
+    }).drop("_number", "_cold", "_new", "_newdev", "_gap", "hour_mean", "hour_std", "dur_mean", "dur_std")
 
 
 def ip_distinct_entities(df: DataFrame, window: int = 20) -> DataFrame:
     """Different entities among the address's last `window` events, this one included; 0 for a null address, whose
-    rows are spread by event."""
+    rows are spread by event. Hot addresses go in pieces with a halo."""
+    different = lambda w: F.size(F.collect_set("entity_id").over(w.rowsBetween(1 - window, 0))).cast("long")
+    ordinary, hot = segments.split(df, "source_ip")
     key = F.coalesce("source_ip", F.concat(F.lit("event "), "event_id"))
-    w = Window.partitionBy(key).orderBy("timestamp", "event_id").rowsBetween(1 - window, 0)
-    n = F.size(F.collect_set("entity_id").over(w)).cast("long")
-    return df.withColumn("ip_distinct_entities_recent", F.when(F.col("source_ip").isNull(), F.lit(0)).otherwise(n).cast("long"))
+    n = F.when(F.col("source_ip").isNull(), F.lit(0)).otherwise(different(Window.partitionBy(key).orderBy(*segments.ORDER))).cast("long")
+    out = ordinary.withColumn("ip_distinct_entities_recent", n)
+    if hot is None:
+        return out
+    rows = segments.with_halo(segments.pieces(hot, "source_ip"), "source_ip", window - 1)
+    rows = rows.withColumn("ip_distinct_entities_recent", different(segments.in_piece("source_ip"))).where("not _halo")
+    return out.unionByName(rows.select(*out.columns))
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import marginal_probability, transition_probability
 from ..sources.shared import written
+from . import segments
 from .ranking import percent_ranks, running_totals
 
 
@@ -20,10 +21,28 @@ def before(*keys: str) -> object:
 
 def entity_transitions(df: DataFrame) -> DataFrame:
     """Each event with its previous resource and the entity's own earlier counts of the edge and of its start."""
+    df = df.select("event_id", "entity_id", "entity_type", "timestamp", F.col("resource_accessed").alias("cur"))
+    ordinary, hot = segments.split(df, "entity_id")
     own = Window.partitionBy("entity_id").orderBy("timestamp", "event_id")
-    out = df.select("event_id", "entity_id", F.first("entity_type").over(own).alias("entity_type"), "timestamp", F.col("resource_accessed").alias("cur"), F.lag("resource_accessed").over(own).alias("prev"))
+    out = ordinary.withColumns({"entity_type": F.first("entity_type").over(own), "prev": F.lag("cur").over(own)})
     count = lambda *k: F.when(F.col("prev").isNotNull(), F.count(F.lit(1)).over(before(*k)))
-    return out.withColumns({"entity_edge": count("entity_id", "prev", "cur"), "entity_node": count("entity_id", "prev")})
+    out = out.withColumns({"entity_edge": count("entity_id", "prev", "cur"), "entity_node": count("entity_id", "prev")})
+    return out if hot is None else out.unionByName(transitions_in_pieces(hot).select(*out.columns))
+
+
+def transitions_in_pieces(df: DataFrame) -> DataFrame:
+    """The same for hot entities: counts inside a piece, and what earlier pieces of the entity counted."""
+    cut = segments.pieces(df, "entity_id")
+    types = segments.few(cut.groupBy("entity_id").agg(F.min_by("entity_type", F.struct(*segments.ORDER)).alias("entity_type")))
+    moves = segments.with_halo(cut, "entity_id", 1).withColumn("prev", F.lag("cur").over(segments.in_piece("entity_id"))).where("not _halo")
+    moves = written(moves.drop("_halo", "entity_type").join(types, "entity_id"), "moves-in-pieces")
+    for name, keys in (("entity_edge", ("prev", "cur")), ("entity_node", ("prev",))):
+        each = moves.where("prev is not null").groupBy("entity_id", *keys, "_seg").agg(F.count("*").alias("_n"))
+        earlier = F.sum("_n").over(Window.partitionBy("entity_id", *keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1))
+        each = each.select("entity_id", *keys, "_seg", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+        inside = F.count(F.lit(1)).over(before("entity_id", "_seg", *keys))
+        moves = moves.withColumn(name, inside).join(each, ["entity_id", "_seg", *keys], "left").withColumn(name, F.when(F.col("prev").isNotNull(), F.col(name) + F.col("_earlier"))).drop("_earlier")
+    return moves
 
 
 def prefix(moves: DataFrame, keys: list[str], bucket: str, out: str) -> DataFrame:
