@@ -46,7 +46,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[LETTER]+| ?[DIGIT]+| ?[^\s[LETTER][DIGIT]
 #: A longer text is cut into pre-tokens piece by piece; a longer chunk is never cached.
 LONG_TEXT, LONG_CHUNK = 1_000_000, 200
 #: Bytes of a worker's caches.
-CHUNK_BYTES, PART_BYTES = 80 << 20, 24 << 20
+CHUNK_BYTES, PART_BYTES = 200 << 20, 48 << 20
 #: Longer byte strings are merged by a heap; parts of a word up to so long are cached.
 SHORT, PART = 48, 8
 
@@ -208,16 +208,11 @@ class TreeBpe:
         """Ids of a text as little-endian uint32."""
         head, *rest = text.split(" ")
         if head and not head[-1].isspace() or not rest:
-            get, parts = self.chunks.get, [self.piece(head)]
-            for c in rest:
-                found = get(c)
-                if found is None:
-                    found = self.chunk(c)
-                    if found is None:
-                        break
-                parts.append(found)
-            else:
-                return b"".join(parts)
+            parts = [*map(self.chunks.get, rest)]
+            if None in parts:
+                parts = [found or self.chunk(c) for found, c in zip(parts, rest, strict=True)]
+            if None not in parts:
+                return self.piece(head) + b"".join(parts)
         head, *rest = CUT.split(text)  # white space beyond single spaces: cut only where both neighbours are none
         return self.piece(head) + b"".join([self.chunks.get(c) or self.piece(" " + c) for c in rest])
 
