@@ -18,13 +18,14 @@ BROADCAST_ROWS = 1_000_000
 HOT_SHARE = 1000
 
 
-def running_totals(values: DataFrame, value: str, *sums: str, descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def running_totals(values: DataFrame, value: str, *sums: str, descending: bool = False, by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """values with, for each column of sums, before_<column>: its sum over lower (descending: higher) values, among rows
-    that share the columns by. values is a written table, as it is read several times; its values differ within by."""
+    that share the columns by. values is a written table, as it is read several times, unless rows, their number, is
+    given; its values differ within by."""
     order = F.desc(value) if descending else F.asc(value)
     earlier = lambda *keys: Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     frame = (Window.unboundedPreceding, -1)
-    buckets = -(-values.count() // ROWS)
+    buckets = -(-(values.count() if rows is None else rows) // ROWS)
     if buckets <= 1:
         w = earlier(*by).orderBy(order).rowsBetween(*frame)
         return values.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in sums])
@@ -37,6 +38,16 @@ def running_totals(values: DataFrame, value: str, *sums: str, descending: bool =
     return out.select(*values.columns, *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_s_{c}")).alias(f"before_{c}") for c in sums])
 
 
+def totals_by(rows: DataFrame, order: str, *steps: tuple[tuple[str, ...], dict[str, str]]) -> DataFrame:
+    """rows (written) with several running totals: each step names the columns by, and for each column summed the name of
+    its total. Few rows pass all steps in one job; of many, each step is written and dealt by ranges."""
+    n = rows.count()
+    for k, (by, names) in enumerate(steps):
+        rows = written(rows, "totals") if k and n > ROWS else rows
+        rows = running_totals(rows, order, *names, by=by, rows=n).withColumnsRenamed({f"before_{c}": out for c, out in names.items()})
+    return rows
+
+
 def counted(df: DataFrame, value: str) -> DataFrame:
     return written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), "counts")
 
@@ -59,7 +70,7 @@ def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
         return df.join(F.broadcast(ranks.select("_v", out)), F.col(value) == F.col("_v"), "left").drop("_v")
     hot = F.col("n") > F.col("total") / HOT_SHARE
     met = df.join(F.broadcast(ranks.where(hot).select(F.col("_v").alias("_h"), F.col(out).alias("_hot"))), F.col(value) == F.col("_h"), "left")
-    met = met.withColumn("_spread", F.when(F.col("_hot").isNull() & F.col(value).isNotNull(), 0).otherwise(1 + (F.rand(7) * 100_000).cast("int")))
+    met = met.withColumn("_spread", F.when(F.col("_hot").isNull() & F.col(value).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(100_000)).cast("int")))
     rest = ranks.where(~hot).select("_v", out, F.lit(0).alias("_zero"))
     found = met.join(rest, (F.col(value) == F.col("_v")) & (F.col("_spread") == F.col("_zero")), "left")
     return found.withColumn(out, F.coalesce("_hot", out)).select(*df.columns, out)

@@ -86,18 +86,24 @@ def arrivals(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log.where("timestamp < '2024-01-20'"), later
 
 
-def replayed(spark: SparkSession, sf_dir: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """The later events through the stream, in two micro-batches by arrival, after a warm start from the history."""
+def run_stream(spark: SparkSession, sf_dir: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d, change: Callable[[DataFrame], DataFrame] = lambda d: d, **options) -> str:
+    """The later events, changed, through the stream in two micro-batches by arrival, after a warm start from the history.
+    Returns the folder with the sinks (out), the checkpoint (check) and what lies beside it."""
     history, later = arrivals(log_of_events(spark, sf_dir))
-    later = written(later, "later")
+    later = written(change(later), "later")
     middle = later.agg(F.avg("arrival")).first()[0] or 0
     folder, warm = place(spark, "stream"), online.warm_start(history)
-    warm = (written(warm[0], "entities"), warm[1])
+    warm = warm._replace(entities=written(warm.entities, "entities"), addresses=written(warm.addresses, "addresses"))
     for part in (later.where(F.col("arrival") < middle), later.where(F.col("arrival") >= middle)):
         part.write.mode("append").parquet(f"{folder}/in")
         events = spark.readStream.schema(later.schema).parquet(f"{folder}/in")
-        online.start_scoring(events, warm, finish, f"{folder}/out", f"{folder}/check").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+        online.start_scoring(events, warm, finish, f"{folder}/out", f"{folder}/check", **options).awaitTermination()
+        warm = None
+    return folder
+
+
+def replayed(spark: SparkSession, sf_dir: str, finish: Callable[[DataFrame], DataFrame] = lambda d: d, **options) -> DataFrame:
+    return spark.read.parquet(f"{run_stream(spark, sf_dir, finish, **options)}/out/scored").drop("batch")
 
 
 def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +117,52 @@ def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed(spark, sf_dir, lambda d: scoring.result_rows(d, models))
 
 
+def places(spark: SparkSession, folder: str, *sinks: str) -> DataFrame:
+    """event_id and the sink in which each arrived event is."""
+    read = lambda sink: spark.read.parquet(f"{folder}/out/{sink}").select("event_id", F.lit(sink).alias("place"))
+    out = read(sinks[0])
+    for sink in sinks[1:]:
+        out = out.unionByName(read(sink))
+    return out
+
+
+def spoiled(later: DataFrame) -> DataFrame:
+    """Some of the later events lack what scoring needs."""
+    number = F.col("event_id").cast("long")
+    kind = F.when(number % 13 == 5, F.lit("robot")).when(number % 29 == 3, F.lit(None)).otherwise(F.col("entity_type"))
+    return later.withColumns({"entity_type": kind, "geo_lat": F.when(number % 17 != 3, F.col("geo_lat")), "device_mac": F.when(number % 19 != 3, F.col("device_mac"))})
+
+
+def validated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(spark, run_stream(spark, sf_dir, change=spoiled), "scored", "rejected")
+
+
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time mode: six hours of delay, entities forgotten after thirty days of silence."""
+    return places(spark, run_stream(spark, sf_dir, watermark="6 hours", keep_ms=30 * 86_400_000), "scored", "rejected", "late")
+
+
+def address_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(spark, sf_dir, addresses=True).select("event_id", "ip_distinct_entities_recent")
+
+
+def risk_stand_in(d: DataFrame) -> DataFrame:
+    return d.select("event_id", "entity_id", "timestamp", F.col("session_duration_min").alias("risk_score"))
+
+
+def online_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = online.Views(spark, f"{run_stream(spark, sf_dir, risk_stand_in)}/check-views")
+    return rounded(views.recent_top().select("event_id", "entity_id", "risk_score"), 6)
+
+
+def online_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.Views(spark, f"{run_stream(spark, sf_dir)}/check-views").counters()
+
+
+def online_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.live_profiles(spark, f"{run_stream(spark, sf_dir)}/check")
+
+
 def fast_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which 20 events look least like their entity's past, by velocity?"""
     cols = ["event_id", "entity_id", "geo_velocity_kmh", "hour_zscore", "dur_zscore"]
@@ -154,6 +206,12 @@ def queries() -> dict[str, Query]:
         "c1_split": over_log(lambda d: classifier.stratified_split(d)[1].select("event_id", "label")),
         "t1_t8_online_features": online_features,
         "t9_scored_stream": scored_stream,
+        "t5_address_fan_out": address_stream,
+        "t9_validated_stream": validated_stream,
+        "t10_late_events": late_stream,
+        "a7_live_profiles": online_profiles,
+        "a8_online_top": online_top,
+        "a9_online_counters": online_counters,
         "x1_x3_explained_alerts": explained_alerts,
         "c4_report": over_log(lambda d: metrics.classification_report(stand_in(d))),
         "a1_a3_alert_queue": over_log(lambda d: queue(d).drop("reasons", "cold_start")),
@@ -255,6 +313,13 @@ SELECT event_id, round(least(abs(h - hm), 24 - abs(h - hm)) / greatest(hs, 1e-6)
 FROM s WHERE later
 """
 
+#: All events in order of arrival: history first, by time, then the later ones.
+ARRIVED = f"""
+WITH access_log AS ({TEST_LOG_SQL}),
+a AS (SELECT *, timestamp >= TIMESTAMP '2024-01-20' AS later, cast(event_id AS bigint) AS number, cast(event_id AS bigint) * 2 + CASE WHEN cast(event_id AS bigint) % 11 = 0 THEN 601 ELSE 0 END AS arrival FROM access_log),
+o AS (SELECT *, row_number() OVER (ORDER BY later, CASE WHEN later THEN arrival ELSE epoch_us(timestamp) END, event_id) AS k FROM a)
+"""
+
 DOUBLES = ("hour_of_day", "hour_zscore", "dur_zscore", "geo_distance_km", "geo_velocity_kmh", "session_duration_min", "time_since_last_s", "seq_transition_score")
 FULL_SELECT = "SELECT event_id, entity_id, entity_type, label, " + ", ".join(f"round({c}, 3) AS {c}" if c in DOUBLES else c for c in ("hour_of_day", *scalars.FEATURES)) + " FROM full_f"
 TOP = ", t AS (SELECT * FROM b ORDER BY risk_score DESC, event_id LIMIT 150)"
@@ -277,7 +342,14 @@ def oracle_sql() -> dict[str, str]:
     counted = "SELECT count(*) FILTER (NOT fl AND pos = 0) AS tn, count(*) FILTER (fl AND pos = 0) AS fp, count(*) FILTER (NOT fl AND pos = 1) AS fn, count(*) FILTER (fl AND pos = 1) AS tp, max(threshold_value) AS threshold_value FROM (SELECT *, risk_score >= threshold_value AS fl FROM b CROSS JOIN th)"
     threshold = ", th AS (SELECT quantile_cont(risk_score, 0.95) AS threshold_value FROM b)"
     stats = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, round(cast(min({c}) AS double), 3) AS min, round(cast(max({c}) AS double), 3) AS max FROM full_f" for c in scalars.FEATURES)
+    late = "timestamp <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(timestamp)) - INTERVAL 6 HOURS FROM o WHERE later AND arrival < (SELECT avg(arrival) FROM o WHERE later)) AND arrival >= (SELECT avg(arrival) FROM o WHERE later)"
     return out | {
+        "t5_address_fan_out": f"{ARRIVED}, w AS (SELECT event_id, later, count(DISTINCT entity_id) OVER (PARTITION BY source_ip ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM o) SELECT event_id, cast(n AS bigint) AS ip_distinct_entities_recent FROM w WHERE later",
+        "t9_validated_stream": f"{ARRIVED} SELECT event_id, CASE WHEN number % 13 = 5 OR number % 29 = 3 OR number % 17 = 3 OR number % 19 = 3 THEN 'rejected' ELSE 'scored' END AS place FROM o WHERE later",
+        "t10_late_events": f"{ARRIVED} SELECT event_id, CASE WHEN {late} THEN 'late' ELSE 'scored' END AS place FROM o WHERE later",
+        "a7_live_profiles": f"{ARRIVED} SELECT entity_id, arg_min(entity_type, k) AS entity_type, count(*) AS n_events_observed, round(avg(hour(timestamp) + minute(timestamp) / 60.0), 2) AS mean_login_hour, round(avg(session_duration_min), 2) AS mean_session_duration_min, count(DISTINCT resource_accessed) AS distinct_resources_ever, count(DISTINCT (device_os, device_mac)) AS distinct_device_fingerprints_ever, count(*) < 5 AS cold_start FROM o GROUP BY entity_id",
+        "a8_online_top": f"{ARRIVED}, r AS (SELECT * FROM o WHERE later ORDER BY arrival DESC, event_id DESC LIMIT 500) SELECT event_id, entity_id, round(session_duration_min, 6) AS risk_score FROM r ORDER BY r.session_duration_min DESC, arrival, event_id LIMIT 20",
+        "a9_online_counters": f"{ARRIVED} SELECT count(DISTINCT entity_id) AS entities_known, count(*) FILTER (later) AS events_since_start FROM o",
         "flagship_fast_movers": f"{BASE} SELECT event_id, entity_id, round(geo_velocity_kmh, 4) AS geo_velocity_kmh, round(hour_zscore, 4) AS hour_zscore, round(dur_zscore, 4) AS dur_zscore FROM f ORDER BY f.geo_velocity_kmh DESC, event_id LIMIT 20",
         "s4_ground_truth": f"{BASE} SELECT event_id, label FROM b",
         "s6_valid_events": f"{BASE} SELECT event_id, source_ip, auth_success FROM b WHERE auth_success",
