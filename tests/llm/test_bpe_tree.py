@@ -69,11 +69,11 @@ def test_long_words_and_texts(model, library, monkeypatch):
 
 def test_small_caches_change_nothing(library):
     model, rng = bpe_tree.TreeBpe(PATH), random.Random(3)
-    model.chunks, model.parts, model.pairs = Cache(300_000), Cache(300_000), Cache(300_000)
+    model.chunks, model.parts, model.windows = Cache(300_000), Cache(300_000), Cache(300_000)
     for _ in range(300):
         text = " ".join("".join(rng.choice("aeiourst.,\n") for _ in range(rng.randint(0, 9))) for _ in range(40))
         assert model.encode(text) == library(text)
-        assert max(model.chunks.held, model.parts.held, model.pairs.held) <= 300_000
+        assert max(model.chunks.held, model.parts.held, model.windows.held) <= 300_000
 
 
 def test_documents(docs_of, library):

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, with null and repeated ids."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ from test_dedup import EDGE, lower, shingle_set
 
 from vigilspark.llm import packing
 from vigilspark.llm.queries import tokenizer
+from vigilspark.llm.tokens import byte_bpe
 
 
 def rows_of():
@@ -54,6 +56,29 @@ def test_dedup_stages_keep_one_row_of_each_group(spark, docs_of):
     assert pairs(corpus_pipeline.near(spark, docs_of(rows), "")) == ordered(near_brute(rows))
 
 
+CLASH = ("_known", "_id", "_sha", "_none", "row", "id", "sha", "again_id", "gone_sha", "tied_id", "first", "root", "part", "_key", "_judged", "a.b")
+
+
+def test_stages_keep_columns_that_clash_and_empty_tables(spark, docs_of):
+    docs = docs_of([(i, t, "en") for i, t in rows_of()] + [(700, "mail password = hunter2hunter2 now", "en")])
+    docs = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASH])
+    columns = [f"`{c}`" for c in docs.columns]
+    for stage in (corpus_pipeline.language, corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.secret):
+        out = stage(spark, docs, "").select(*columns)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in CLASH)
+        assert stage(spark, docs.limit(0), "").select(*columns).collect() == []
+
+
+def test_secret_changes_only_what_it_must(spark, docs_of):
+    rows = [(1, "plain text"), (2, None), (3, ""), (4, "mail password = hunter2hunter2 now"), (None, "x " * 50_000)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.secret(spark, docs_of(rows), "").collect()}
+    clean = got.pop(4)
+    assert got == {i: (t, 1) for i, t in rows if i != 4}  # n_chars is 1 in the fixture, and stays
+    assert "hunter2" not in clean[0] and clean[1] == len(clean[0])
+
+
 def test_run_keeps_what_the_stages_keep(spark, docs_of, tmp_path):
     docs_of([(i, t, "en") for i, t in rows_of()]).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -61,6 +86,20 @@ def test_run_keeps_what_the_stages_keep(spark, docs_of, tmp_path):
     want = packing.pack(docs_of(left), tokenizer("byte_bpe_50k.json"))
     packed = lambda df: ordered((r.doc_id, r.length, r.ids_crc32) for r in df.collect())
     assert packed(corpus_pipeline.run(spark, str(tmp_path))) == packed(want)
+    found = {x.rsplit("-", 1)[0] for x in os.listdir(spark.conf.get("spark.checkpoint.dir"))}
+    assert "secret-scans" in found and not found & {"language-ID", "exact-dedup", "MinHash-near-dedup"}
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    rows.write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_a_secret_is_gone_from_what_is_packed(spark, docs_of, tmp_path):
+    text = "some words before the token: abcdef0123456789abcdef and some after"
+    docs_of([(1, text, "en"), (2, "other words that are here to be learned and packed", "en")]).write.parquet(str(tmp_path / "documents.parquet"))
+    left = corpus_pipeline.secret(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").where("doc_id = 1").first()
+    assert "abcdef0123456789" not in left.text and left.n_chars == len(left.text)
+    packed = {r.doc_id: r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert packed[1] == len(byte_bpe(tokenizer("byte_bpe_50k.json")).ids(left.text)) // 4 + 1
 
 
 def test_language_rejects_texts_in_no_learned_language(spark, docs_of):

@@ -99,7 +99,7 @@ class TreeBpe:
         self.spelled = [b""] * (max(self.rank.values()) + 1)
         for word, i in self.rank.items():
             self.spelled[i] = word
-        self.parts, self.pairs, self.chunks = Cache(PART_BYTES), Cache(PART_BYTES), Cache(CHUNK_BYTES)
+        self.parts, self.windows, self.chunks = Cache(PART_BYTES), Cache(PART_BYTES), Cache(CHUNK_BYTES)
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
         """The definition: merge the adjacent pair of lowest rank, the leftmost of equals, until there is none."""
@@ -141,14 +141,13 @@ class TreeBpe:
         return tuple([self.rank[s] for s in sym if s])
 
     def window(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
-        if len(left) == len(right) == 1:
-            pair = (left[0], right[0])
-            found = self.pairs.get(pair)
-            if found is None:
-                found = self.merged(self.spelled[pair[0]] + self.spelled[pair[1]])
-                self.pairs.keep(pair, found, 8 * len(found))
-            return found
-        return self.merged(self.decoded(left) + self.decoded(right))
+        """The encoding of the bytes of left and right together; short windows come from a cache."""
+        found = self.windows.get((left, right))
+        if found is None:
+            found = self.merged(self.decoded(left) + self.decoded(right))
+            if len(left) + len(right) <= 6:
+                self.windows.keep((left, right), found, 120 + 8 * (len(left) + len(right) + len(found)))
+        return found
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The monoid's product: windows grow on each side that has not settled, by doubling."""

@@ -25,6 +25,8 @@ HOT_SHARE = 1000
 FEW_EDGES = 100_000
 #: Rows and bytes of an Arrow batch at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A task that writes or reads a table between steps holds about so much of it.
+ROW_GROUP_BYTES = 16 << 20
 
 _scopes = threading.local()
 
@@ -40,12 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Write df in row groups of a size that keeps a task's buffers small beside Python workers."""
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors. The table is deleted
     at the end of the scratch() around it; with keep, at the end of the next one further out, if any."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, path = df.sparkSession, place(df.sparkSession, name)
+    save(df, path)
     scopes = getattr(_scopes, "open", [])
     if len(scopes) > keep:
         scopes[-1 - keep].append(path)
@@ -60,10 +76,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         *_scopes.open, paths = _scopes.open
-        jvm = spark.sparkContext._jvm
         for path in paths:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            delete(spark, path)
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
@@ -132,6 +146,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def row_key() -> Column:
+    """A hash of id, text and place of a row: samples drawn by it stay near their size whatever ids or texts repeat."""
+    return F.xxhash64(F.col("doc_id").cast("string"), "text", F.monotonically_increasing_id())
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -150,8 +169,9 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) ->
     named = lambda df, mark: df.select(*[F.col(k).alias(f"{mark}{k}") for k in keys], F.struct(*values).alias(f"{mark}v"))
     same = lambda mark: [F.col(k).eqNullSafe(F.col(f"{mark}{k}")) for k in keys]
     met = rows.join(F.broadcast(named(hot, "_h")), same("_h"), "left")
-    # Rows with a hot key are done: they go on with a null key, each to any task, and meet nothing.
-    spread = F.when(F.col("_hv").isNull(), F.lit(0)).otherwise(1 + (F.rand(7) * 100_000).cast("int"))
+    # Rows with a hot key are done: they go on with a null key, by a hash of row and partition, and meet nothing. A task that
+    # runs again deals them the same way.
+    spread = F.when(F.col("_hv").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(100_000)).cast("int"))
     met = met.withColumn("_spread", spread).withColumns({f"_k{k}": F.when(F.col("_hv").isNull(), F.col(k)) for k in keys})
     rest = named(table.where(F.col(count) <= bar), "_r").withColumn("_zero", F.lit(0))
     out = met.join(rest, [F.col(f"_k{k}") == F.col(f"_r{k}") for k in keys] + [F.col("_spread") == F.col("_zero")], "left")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, lean, stash
+from .common import in_small_batches, lean, row_key, stash
 from .near_dedup import mixed
 
 ORDERS = (2, 3, 4)
@@ -126,7 +126,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rate: float = RATE, contrast: f
     bar = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         bar = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(bar)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < bar * (1 << 20)).where("text is not null")
+    chosen = rows.withColumn("row", row_key()).where(F.pmod("row", F.lit(1 << 20)) < bar * (1 << 20)).where("text is not null")
 
     def count(batches):
         for pdf in batches:
@@ -177,11 +177,11 @@ def with_known(docs: DataFrame, model: Filter, *keep: Column) -> DataFrame:
 def least_known(docs: DataFrame, model: Filter, sample: int = SAMPLE) -> float:
     """The share of known n-grams below which a text is in no learned language: half of the median of labelled rows that
     were not learned from, but no more than what 99 of 100 of them reach (so of a few rows, the least). At most about
-    `sample` rows count, chosen by a hash of the id; where no row was held out, the learned ones do."""
+    `sample` rows count, chosen by a hash of the row; where no row was held out, the learned ones do."""
     rows = docs.where(F.col("lang").cast("string").isin(model.langs) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     for part in (rows.where(remainder() == 2), rows):
         n = part.count()
-        chosen = part.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1 << 20)) < min(1.0, sample / max(n, 1)) * (1 << 20))
+        chosen = part.select("text", row_key().alias("row")).where(F.pmod("row", F.lit(1 << 20)) < min(1.0, sample / max(n, 1)) * (1 << 20))
         middle, low = with_known(chosen, model).where("_known > 0").agg(F.percentile_approx("_known", 0.5, 100000), F.percentile_approx("_known", 0.01, 100000)).first()
         if middle is not None:
             return min(middle / 2, low)

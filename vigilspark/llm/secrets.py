@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, lean, scratch, stash
+from .common import in_small_batches, lean, row_key, scratch, stash
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Models | None:
     documents and made strings train the models, the others' set the margin."""
     with scratch(docs.sparkSession):
         total = in_small_batches(docs).count()
-        key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
+        key = row_key()
         chosen = docs.select(F.pmod(F.xxhash64("text"), F.lit(4)).alias("part"), F.col("text").alias("text"), key.alias("_key")).where("text is not null")
         chosen = stash(chosen.where(F.pmod("_key", F.lit(1 << 20)) < min(1.0, sample / max(1, total)) * (1 << 20)).select("part", "text"), "secret-sample")
 
