@@ -1,7 +1,7 @@
 """Transition graph: how unlikely is it that this entity goes from one resource to the next?
 
-Population counts before an event are prefix sums over small aggregates. In entity order (all events of lower entities
-first) the bucket is the entity; in time order it is the hour, with a window inside the hour.
+Population counts before an event are prefix sums: in entity order (all events of lower entities first) over one row for
+each entity and key, in time order over the events themselves, dealt by ranges.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import marginal_probability, transition_probability
 from ..sources.shared import written
 from . import segments
-from .ranking import percent_ranks, running_totals
+from .ranking import percent_ranks, running_totals, totals_by
 
 
 def before(*keys: str) -> object:
@@ -51,19 +51,38 @@ def prefix(moves: DataFrame, keys: list[str], bucket: str, out: str) -> DataFram
     return running_totals(n, bucket, "_n", by=tuple(keys)).select(*keys, bucket, F.col("before__n").alias(out))
 
 
+COUNTED = ["event_id", "entity_id", "entity_type", "cur", "prev", "entity_edge", "entity_node"]
+
+
 def population_counts(moves: DataFrame, order: str = "entity") -> DataFrame:
     """moves with the population's counts before each event: pop_edge, pop_node; for an entity's first event also the
-    resource's count, the total and the number of different resources with the current one."""
-    if order == "entity":
-        moves = moves.withColumn("bucket", F.col("entity_id"))
-    else:
-        moves = moves.withColumn("bucket", F.date_trunc("hour", "timestamp"))
+    resource's count, the total and the number of different resources with the current one. order is `entity` (all
+    events of lower entities first) or `time`."""
+    counts = by_entity_order(moves) if order == "entity" else by_time_order(moves)
+    started = F.col("prev").isNull()
+    pick = lambda c, when: F.when(when, F.col(c)).alias(c)
+    different = F.when(started, F.col("different") + (F.col("resource_count") == 0).cast("long")).alias("different")
+    return counts.select(*COUNTED, *[pick(c, ~started) for c in ("pop_edge", "pop_node")], *[pick(c, started) for c in ("resource_count", "total")], different)
+
+
+def by_time_order(moves: DataFrame) -> DataFrame:
+    """Running totals over all events in order of time, dealt by ranges: neither an entity type nor an hour is one task."""
     moves = written(moves, "moves")
+    first = moves.groupBy("entity_type", "cur").agg(F.min(F.struct("timestamp", "event_id")).alias("f")).select(F.col("f.event_id").alias("event_id"), F.lit(1).alias("fresh"))
+    base = moves.join(first, "event_id", "left").na.fill(0, ["fresh"]).withColumns({"one": F.lit(1), "linked": F.col("prev").isNotNull().cast("int"), "order": F.struct("timestamp", "event_id")})
+    kinds = {"one": "total", "fresh": "different"}
+    return totals_by(
+        written(base, "in-time"), "order", (("entity_type",), kinds), (("entity_type", "cur"), {"one": "resource_count"}), (("entity_type", "prev"), {"linked": "pop_node"}), (("entity_type", "prev", "cur"), {"linked": "pop_edge"})
+    )
+
+
+def by_entity_order(moves: DataFrame) -> DataFrame:
+    """Prefix sums over one row for each entity and key; inside an entity its own counts go on."""
+    moves = written(moves.withColumn("bucket", F.col("entity_id")), "moves")
     linked, heads = moves.where("prev is not null"), moves.where("prev is null")
     edge, node = ["entity_type", "prev", "cur"], ["entity_type", "prev"]
     out = linked.join(prefix(linked, edge, "bucket", "pop_edge"), [*edge, "bucket"]).join(prefix(linked, node, "bucket", "pop_node"), [*node, "bucket"])
-    own = (lambda *k: F.col("entity_edge" if len(k) == 3 else "entity_node")) if order == "entity" else (lambda *k: F.count(F.lit(1)).over(before(*k, "bucket")))
-    out = out.withColumns({"pop_edge": F.col("pop_edge") + own(*edge), "pop_node": F.col("pop_node") + own(*node)})
+    out = out.withColumns({"pop_edge": F.col("pop_edge") + F.col("entity_edge"), "pop_node": F.col("pop_node") + F.col("entity_node")})
     # First events: totals, the resource's count and the number of resources first met in lower buckets.
     first_met = moves.groupBy("entity_type", "cur").agg(F.min("bucket").alias("bucket"))
     buckets = moves.groupBy("entity_type", "bucket").agg(F.count("*").alias("n")).join(first_met.groupBy("entity_type", "bucket").agg(F.count("*").alias("d")), ["entity_type", "bucket"], "left")
@@ -71,17 +90,7 @@ def population_counts(moves: DataFrame, order: str = "entity") -> DataFrame:
     totals = running_totals(buckets, "bucket", "n", "d", by=("entity_type",)).select("entity_type", "bucket", F.col("before_n").alias("total"), F.col("before_d").alias("different"))
     met = prefix(moves, ["entity_type", "cur"], "bucket", "resource_count")
     starts = heads.join(totals, ["entity_type", "bucket"]).join(met, ["entity_type", "cur", "bucket"])
-    if order != "entity":
-        inside = moves.select("event_id", F.count(F.lit(1)).over(before("entity_type", "bucket")).alias("in_all"), F.count(F.lit(1)).over(before("entity_type", "bucket", "cur")).alias("in_cur"))
-        newly = moves.join(first_met, ["entity_type", "cur", "bucket"], "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("entity_type", "bucket", "cur").orderBy("timestamp", "event_id"))).where("k = 1")
-        fresh = moves.join(newly.select("event_id", F.lit(1).alias("fresh")), "event_id", "left")
-        fresh = fresh.select("event_id", F.coalesce(F.sum("fresh").over(before("entity_type", "bucket")), F.lit(0)).alias("in_new"))
-        starts = starts.join(inside, "event_id").join(fresh, "event_id")
-        starts = starts.withColumns({"total": F.col("total") + F.col("in_all"), "resource_count": F.col("resource_count") + F.col("in_cur"), "different": F.col("different") + F.col("in_new")})
-    starts = starts.withColumn("different", F.col("different") + (F.col("resource_count") == 0).cast("long"))
-    cols = ["event_id", "entity_id", "entity_type", "cur", "prev", "entity_edge", "entity_node"]
-    none = lambda *names: [F.lit(None).cast("long").alias(x) for x in names]
-    return out.select(*cols, "pop_edge", "pop_node", *none("resource_count", "total", "different")).unionByName(starts.select(*cols, *none("pop_edge", "pop_node"), "resource_count", "total", "different"))
+    return out.select(*COUNTED, "pop_edge", "pop_node").unionByName(starts.select(*COUNTED, "resource_count", "total", "different"), allowMissingColumns=True)
 
 
 def transition_scores(df: DataFrame, pop_order: str = "entity") -> DataFrame:
