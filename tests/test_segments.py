@@ -28,7 +28,7 @@ def rows(df):
     return df.toPandas().sort_values("event_id").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("size", [50, 7])
+@pytest.mark.parametrize("size", [50, 15])
 def test_pieces_equal_whole_windows(log, monkeypatch, size):
     priors = features.population_priors(log)
     found = lambda: [rows(features.entity_windows(log, priors)), rows(features.ip_distinct_entities(log)), rows(sequence.entity_transitions(log))]
