@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of word shingles; equal sets collapse into one node named by a 128-bit fingerprint.
 2. MinHash bands bucket the nodes. In a bucket every node is first compared with the bucket's least node, so a bucket
-   of m nodes gives m - 1 pairs, not m * m. After components are known, only pairs of one bucket that lie in different
+   of m nodes gives m - 1 pairs, not m * m; of its heads in several buckets, a node meets the least one first. After components are known, only pairs of one bucket that lie in different
    components are compared: nothing that could join two groups is left out, and groups of copies stay linear.
 3. Candidates are verified sequentially: signatures are compared batch by batch, and a pair is pruned once the
    posterior probability of similarity >= threshold is under `miss` (uniform prior: the posterior tail is a binomial
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, in_small_batches, lean, scratch, small, stash
+from .common import HOT_SHARE, components, hot_join, in_small_batches, lean, scratch, small, stash
 
 PERMUTATIONS = 256
 #: Signature values compared between two looks at the posterior.
@@ -136,6 +136,22 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, permutation
     return tuple(out)
 
 
+def with_heads(pairs: DataFrame, heads: DataFrame, how: str = "inner") -> DataFrame:
+    """pairs (a, b, written) joined with heads, one row for each a. An a of very many pairs, the head of a large bucket, is
+    dealt to parts by its b, and its row goes to each part: none brings much more than one in HOT_SHARE of the pairs, or
+    1000 of them, to a task. Fewer than HOT_SHARE such a are broadcast, by name alone."""
+    counts = stash(pairs.groupBy("a").agg(F.count("*").alias("m")), "pairs-of")
+    total, most = counts.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    bar = max(total / HOT_SHARE, 1000.0)
+    if most <= bar:
+        return pairs.join(heads, "a", how)
+    hot = F.broadcast(counts.where(F.col("m") > bar).select("a", F.ceil(F.col("m") / bar).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    right = heads.join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["a", "part"], how).drop("part")
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
     """Of the pairs (a, b) of nodes, those that no look at the signature batches prunes."""
     least = least_matches(threshold, miss)
@@ -152,8 +168,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float
                 keep = keep[matches[keep] >= m]
             yield pdf.iloc[keep][["a", "b"]]
 
-    side = lambda k, s: nodes.select(F.col("fp").alias(k), F.col("sig").alias(s))
-    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
+    loaded = with_heads(pairs, nodes.select(F.col("fp").alias("a"), F.col("sig").alias("sa"))).join(nodes.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
+    return loaded.select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
 def full_sets(fps: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -185,8 +201,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, t
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    side = lambda k, s: full.select(F.col("fp").alias(k), F.col("s").alias(s))
-    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(lean(run), "a binary, b binary")
+    loaded = with_heads(pairs, full.select(F.col("fp").alias("a"), F.col("s").alias("x"))).join(full.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    return loaded.select("a", "b", "x", "y").mapInPandas(lean(run), "a binary, b binary")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -320,10 +336,19 @@ def grouped(docs: DataFrame, words: int, threshold: float, named: bool) -> tuple
     heads = banded.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("m")).where("m > 1")
     members = stash(banded.join(stash(heads.select("band", "head"), "heads"), "band"), "members")
 
+    # Each node meets the least of its heads first; its other heads only where that left them in different components.
     tested = stash(members.where("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), "first-pairs")
-    links = confirmed(stash(plausible(tested, nodes, threshold), "first-survivors"), docs, nodes, words, threshold)
-    links = stash(links, "first-links")
+    least = stash(tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least-heads")
+    links = stash(confirmed(stash(plausible(least, nodes, threshold), "least-survivors"), docs, nodes, words, threshold), "least-links")
     labels = components(links)
+    side = lambda k, r: labels.select(F.col("node").alias(k), F.col("root").alias(r))
+    apart = with_heads(tested, side("a", "ra"), "left").join(side("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    apart = stash(apart.select("a", "b").join(least, ["a", "b"], "left_anti"), "other-heads")
+    if not apart.isEmpty():
+        found = stash(confirmed(stash(plausible(apart, nodes, threshold), "other-survivors"), docs, nodes, words, threshold), "other-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
 
     # Buckets that still hold several components: compare what lies outside the largest one with all of the bucket.
     lone = members.join(labels, members.fp == labels.node, "left").select("band", "fp", "head", F.coalesce("root", "fp").alias("root"))
