@@ -96,3 +96,11 @@ def test_url_fit_equals_a_plain_loop(spark):
         now = {j: w + (gradient[j] - (url_filter.DECAY * w if j >= 0 else 0)) / (bound[j] + (url_filter.DECAY if j >= 0 else 0)) for j, w in ahead.items()}
     assert intercept == pytest.approx(now[-1])
     assert all(weights[j] == pytest.approx(w, abs=1e-9) for j, w in now.items() if j >= 0) and sum(w != 0 for w in weights) == sum(j >= 0 and w != 0 for j, w in now.items())
+
+
+def test_the_least_known_share_comes_from_all_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "with_known", lambda docs, model, *keep: docs.select(F.col("text").cast("double").alias("_known")))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), ((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 1) / float(1 << 30)).cast("string").alias("text"))
+    got = language_id.least_known(docs, language_id.Filter(["en"], pd.DataFrame({"lang": [], "gram": []}), "en"))
+    held = sorted(float(r.text) for r in docs.where(language_id.remainder() == 2).collect())
+    assert got == min(held[-(-len(held) // 2) - 1] / 2, held[-(-len(held) // 100) - 1])

@@ -174,15 +174,13 @@ def with_known(docs: DataFrame, model: Filter, *keep: Column) -> DataFrame:
     return in_small_batches(docs).select(*keep, known(F.col("text")).alias("_known"))
 
 
-def least_known(docs: DataFrame, model: Filter, sample: int = SAMPLE) -> float:
-    """The share of known n-grams below which a text is in no learned language: half of the median of labelled rows that
-    were not learned from, but no more than what 99 of 100 of them reach (so of a few rows, the least). At most about
-    `sample` rows count, chosen by a hash of the row; where no row was held out, the learned ones do."""
+def least_known(docs: DataFrame, model: Filter) -> float:
+    """The share of known n-grams below which a text is in no learned language: half of the median of the labelled rows that
+    were not learned from, but no more than what 99 of 100 of them reach (so of a few rows, the least). All of them count;
+    where no row was held out, the learned ones do."""
     rows = docs.where(F.col("lang").cast("string").isin(model.langs) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     for part in (rows.where(remainder() == 2), rows):
-        n = part.count()
-        chosen = part.select("text", row_key().alias("row")).where(F.pmod("row", F.lit(1 << 20)) < min(1.0, sample / max(n, 1)) * (1 << 20))
-        middle, low = with_known(chosen, model).where("_known > 0").agg(F.percentile_approx("_known", 0.5, 100000), F.percentile_approx("_known", 0.01, 100000)).first()
+        middle, low = with_known(part, model).where("_known > 0").agg(F.percentile_approx("_known", 0.5, 100000), F.percentile_approx("_known", 0.01, 100000)).first()
         if middle is not None:
             return min(middle / 2, low)
     return 0.0
