@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vigilspark.operators import features, segments, sequence
+from vigilspark.operators import features, ranking, segments, sequence
 
 N = 900
 
@@ -60,3 +60,25 @@ def test_moments_far_from_zero(spark, monkeypatch):
         first = int(next(o["first"] for o in own if o["_seg"] == r["_seg"]))
         assert r["_rows"] == r["_n_v"] == first
         assert r["_m_v"] == pytest.approx(pdf.v[:first].mean(), abs=1e-4) and (r["_q_v"] / first) ** 0.5 == pytest.approx(pdf.v[:first].std(ddof=0), rel=1e-4)
+
+
+@pytest.mark.parametrize("order", ["entity", "time"])
+def test_population_counts_over_many_buckets(log, monkeypatch, order):
+    """An entity's first event has no previous resource: it keeps its counts when the events are dealt."""
+    pdf = sequence.entity_transitions(log).toPandas().sort_values(["entity_id", "timestamp", "event_id"] if order == "entity" else ["timestamp", "event_id"])
+    monkeypatch.setattr(sequence, "ROWS", 70)
+    got = sequence.population_counts(sequence.entity_transitions(log), order).toPandas().set_index("event_id").loc[pdf.event_id]
+    nth = lambda *keys: pdf.groupby(list(keys), dropna=False).cumcount().to_numpy()
+    new = nth("entity_type", "cur") == 0
+    kinds = pd.Series(new.astype(int)).groupby(pdf.entity_type.to_numpy()).cumsum().to_numpy()
+    first = pdf.prev.isna().to_numpy()
+    assert first.sum() > 20 and len(got) == N
+    for column, want, where in (("resource_count", nth("entity_type", "cur"), first), ("total", nth("entity_type"), first), ("different", kinds, first), ("pop_node", nth("entity_type", "prev"), ~first), ("pop_edge", nth("entity_type", "prev", "cur"), ~first)):
+        assert got[column].to_numpy()[where].tolist() == want[where].tolist() and got[column][~where].isna().all()
+
+
+def test_running_totals_keep_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS", 10)
+    df = spark.createDataFrame([(None if k % 3 else "a", k, 1) for k in range(60)], "k string, v int, n int")
+    got = ranking.running_totals(df, "v", "n", by=("k",)).collect()
+    assert len(got) == 60 and all(r.before_n == (r.v // 3 if r.k else r.v - r.v // 3 - 1) for r in got)
