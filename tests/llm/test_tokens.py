@@ -159,3 +159,15 @@ def test_matrices_give_documents_back(spark, docs_of, tmp_path):
 def test_empty_tables(spark, docs_of):
     none = docs_of([(1, "x")]).limit(0)
     assert packing.pack(none, BPE).count() == matrices.packed_matrices(none, BPE).count() == pieces.round_trip(none, PIECE).count() == 0
+
+
+def test_a_full_cache_keeps_frequent_words(monkeypatch):
+    """op6: a word that every text has is encoded once, however often the cache is full; ids stay the library's."""
+    own, met = pieces.Pieces(PIECE, 2 << 20), Counter()
+    encode = own.backtrack
+    monkeypatch.setattr(own, "backtrack", lambda text: met.update([text]) or encode(text))
+    texts = [f"often {'x'.join(map(chr, range(97 + k % 20, 101 + k % 20)))}{k} q{k * 7919}" for k in range(20_000)]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for t in texts:
+        assert own.encode(t)[1] == lib.encode(t)
+    assert met["▁often"] == 1 and len(own.words) < 20_000

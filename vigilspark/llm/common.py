@@ -123,6 +123,19 @@ class Cache(dict):
         self.held = 0
 
 
+class Halves(Cache):
+    """A cache of two halves that hold so many bytes together: a full one becomes the older half, and a new one is begun. What
+    is found in the older half only should be kept again, so that what is asked for often stays."""
+
+    def __init__(self, most: int):
+        super().__init__(most // 2)
+        self.older: dict = {}
+
+    def clear(self) -> None:
+        self.older = dict(self)
+        super().clear()
+
+
 def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """run, for mapInPandas, with freed memory handed back before and after each task."""
 
