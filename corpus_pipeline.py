@@ -13,6 +13,11 @@ from vigilspark.llm import exact_dedup, language_id, near_dedup, packing, secret
 from vigilspark.llm.common import delete, place, save, scratch, small, stash
 from vigilspark.llm.queries import tokenizer
 
+#: Bits of one bitmap of Spark's bitmap functions; bits for each key marked, and of all bitmaps together at most.
+BITMAP = 32768
+BITS_EACH = 32
+MOST_BITS = 1 << 26
+
 
 def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
     """docs with each row whole in one column `row`, beside columns of this module: no name in docs can clash with them."""
@@ -42,10 +47,28 @@ def once(rows: DataFrame, again: DataFrame) -> DataFrame:
     return rows.join(again, same, "left_anti").select("row").unionByName(firsts).select("row.*")
 
 
+def maybe_in(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows with _maybe: false only if no row of gone (written) has the same sha. A bitmap of at most 8 MB says so, whose bits
+    are hashes of gone's shas; about one other row in BITS_EACH is true beside those, more only once the bitmap is as
+    large as it may be."""
+    bits = BITMAP
+    while bits < min(BITS_EACH * gone.count(), MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64("sha"), F.lit(bits))
+    place, bit = F.floor(at / BITMAP), at % BITMAP
+    bitmaps = gone.select(place.alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    eight = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bitmaps), place == F.col("_place"), "left")
+    return met.select(*rows.columns, F.coalesce(F.getbit(eight, (bit % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows whose key (id, sha) is not one of gone."""
+    """rows whose key (id, sha) is not one of gone (written). Only rows that may be among these are shuffled, with their
+    texts, to be compared; all others stay where they are."""
+    marked = maybe_in(rows, gone)
     gone = gone.select(F.col("id").alias("gone_id"), F.col("sha").alias("gone_sha"))
-    return rows.join(gone, rows.id.eqNullSafe(F.col("gone_id")) & (rows.sha == F.col("gone_sha")), "left_anti")
+    left = marked.where("_maybe").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    return marked.where("not _maybe").unionByName(left).drop("_maybe")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

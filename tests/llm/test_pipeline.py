@@ -112,3 +112,16 @@ def test_language_rejects_texts_in_no_learned_language(spark, docs_of):
     for lang in ([(i, t, None) for i, t, _ in clean + odd], [(1, "a b", None), (2, None, "en"), (3, "7", "en")]):  # nothing to learn
         want = ordered((i, t) for i, t, _ in lang if any(x.isalpha() for x in t or ""))
         assert pairs(corpus_pipeline.language(spark, docs_of(lang), "")) == want
+
+
+def test_only_rows_that_may_be_gone_are_compared(spark):
+    """Every gone row is marked, null ids and ids with several texts too; almost no other row is; the result is that of the plain join."""
+    rows = spark.range(0, 40_000, 1, 7).selectExpr("if(id % 100 = 0, null, id div 2) AS id", "if(id % 997 = 1, null, sha2(cast(id AS string), 256)) AS sha", "struct(id) AS row")
+    gone = corpus_pipeline.stash(rows.where("sha is not null and crc32(sha) % 50 = 0").select("id", "sha"), "gone")
+    marked, keys = corpus_pipeline.maybe_in(rows, gone), {tuple(r) for r in gone.collect()}
+    assert len(keys) > 500 and any(i is None for i, _ in keys)
+    maybe = [(r.id, r.sha) for r in marked.where("_maybe").collect()]
+    assert marked.count() == 40_000 and keys <= set(maybe) and len(maybe) < len(keys) + 40_000 * 2 / corpus_pipeline.BITS_EACH
+    left = [(r.id, r.sha, r.row.id) for r in corpus_pipeline.without(rows, gone).collect()]
+    assert sorted(left, key=lambda r: r[2]) == [(r.id, r.sha, r.row.id) for r in sorted(rows.collect(), key=lambda r: r.row.id) if (r.id, r.sha) not in keys]
+    assert corpus_pipeline.without(rows, gone.where("false")).count() == 40_000
