@@ -38,6 +38,31 @@ def test_pieces_equal_whole_windows(log, monkeypatch, size):
         pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-6, check_dtype=False)
 
 
+@pytest.mark.parametrize("order", ["entity", "time"])
+def test_features_are_the_same_however_they_are_dealt(log, monkeypatch, order):
+    whole = rows(features.build_features(log, order))
+    assert len(whole) == N and whole.seq_transition_score.notna().all()
+    monkeypatch.setattr(sequence, "ROWS", 70)
+    dealt = rows(features.build_features(log, order))
+    monkeypatch.setattr(segments, "ROWS", 50)
+    for got in (dealt, rows(features.build_features(log, order))):
+        pd.testing.assert_frame_equal(whole, got[whole.columns], check_exact=False, rtol=1e-6, check_dtype=False)
+
+
+def test_what_a_split_reads_is_derived_once(log, monkeypatch):
+    """Both parts of a table with hot keys read it written, so the windows before are not run for each part."""
+    monkeypatch.setattr(segments, "ROWS", 50)
+    for part in segments.split(log.withColumn("n", F.rand()), "source_ip"):
+        assert any("/split-" in f for f in part.inputFiles())
+
+
+def test_features_join_no_events(log, monkeypatch):
+    """Columns are carried through the population's counts: no table of all events is joined back by event_id."""
+    monkeypatch.setattr(sequence, "ROWS", 70)
+    plan = features.build_features(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "event_id" in line for line in plan.splitlines())
+
+
 def test_a_hot_key_is_spread(log, monkeypatch):
     monkeypatch.setattr(segments, "ROWS", 50)
     for key in ("entity_id", "source_ip"):
